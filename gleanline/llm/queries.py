@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .capping import over_cap
 from .common import account_key, community_key
+from .lookalike import look_alike_pairs, normalise_text
 from .topn import top_n_per_group
 
 LEAD_ORDER = [("ai_score", "desc"), ("item_created_at", "desc")]
@@ -38,7 +39,24 @@ def p2_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("community", "account", F.col("id").alias("lead_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_share": p2_share}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = table(spark, sf_dir, "gemini_qualification_queue").select("id", "body", "matched_text")
+    return look_alike_pairs(queue, "id", ["body", "matched_text"])
+
+
+def p4_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical form of every queue body."""
+    queue = table(spark, sf_dir, "gemini_qualification_queue").select("id", "body")
+    return normalise_text(queue, "body", "normal_body").select("id", "normal_body").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_share": p2_share,
+    "p4_found": p4_found,
+    "p4_normal_form": p4_normal_form,
+}
 
 ORACLES = {
     "p1_found": """
