@@ -139,7 +139,7 @@ def normalise_text(df: DataFrame, column: str, out: str) -> DataFrame:
     """
     text = F.col(column)
     by_unicode = df.filter(~plain(text)).withColumn(out, _canonical_udf(text))
-    by_ascii = df.filter(F.coalesce(plain(text), F.lit(True))).withColumn(out, F.lower(F.trim(F.lit(" \n"), text)))
+    by_ascii = df.filter(F.coalesce(plain(text), F.lit(True))).withColumn(out, F.lower(F.trim(text, F.lit(" \n"))))
     return by_ascii.unionByName(by_unicode)
 
 
@@ -164,7 +164,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
     texts = df.select(F.col(id_col).cast("string").alias("id"), stacked.alias("t")).select("id", "t.field", "t.text").filter(F.col("text").isNotNull())
     simple = plain(F.col("text"))
-    trimmed = F.trim(F.lit(" \n"), F.col("text"))
+    trimmed = F.trim(F.col("text"), F.lit(" \n"))
     digest = lambda c: F.unhex(F.md5(c))
     by_ascii = texts.filter(simple).select("field", "id", digest(F.col("text")).alias("raw"), digest(F.lower(trimmed)).alias("form"), digest(trimmed).alias("look"))
     by_unicode = texts.filter(~simple).select("field", "id", "text").mapInPandas(_marks, "field string, id string, raw binary, form binary, look binary")
