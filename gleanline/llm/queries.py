@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .capping import over_cap
 from .common import account_key, community_key
 from .lookalike import look_alike_pairs, normalise_text
+from .neardup import near_duplicates, pairs
 from .topn import top_n_per_group
 
 LEAD_ORDER = [("ai_score", "desc"), ("item_created_at", "desc")]
@@ -39,6 +40,25 @@ def p2_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.select("community", "account", F.col("id").alias("lead_id"))
 
 
+def texts_of_queue_and_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (tbl, id, text): title and body of queue rows, content of leads."""
+    queue = table(spark, sf_dir, "gemini_qualification_queue").select(F.lit("gemini_qualification_queue").alias("tbl"), "id", F.concat_ws("\n", "title", "body").alias("text"))
+    leads = table(spark, sf_dir, "reddit_leads").select(F.lit("reddit_leads").alias("tbl"), "id", F.col("content").alias("text"))
+    return queue.unionByName(leads)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = near_duplicates(texts_of_queue_and_leads(spark, sf_dir), threshold=0.6, min_words=24, shingle=1)
+    return pairs(members, links)
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that has a class, with its class and the number of links of the class to other texts."""
+    members, links = near_duplicates(texts_of_queue_and_leads(spark, sf_dir), threshold=0.6, min_words=24, shingle=1)
+    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(degree, "doc", "left").select("tbl", "id", F.col("doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = table(spark, sf_dir, "gemini_qualification_queue").select("id", "body", "matched_text")
     return look_alike_pairs(queue, "id", ["body", "matched_text"])
@@ -54,6 +74,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_share": p2_share,
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_normal_form": p4_normal_form,
 }
