@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .capping import over_cap
-from .common import account_key, community_key
+from .common import account_key, community_key, item_key
+from .forest import already_accepted
 from .lookalike import look_alike_pairs, normalise_text
 from .neardup import near_duplicates, pairs
+from .packing import fill_containers
+from .quality import text_quality
+from .tokenizer import encode
 from .topn import top_n_per_group
 
 LEAD_ORDER = [("ai_score", "desc"), ("item_created_at", "desc")]
@@ -70,6 +74,35 @@ def p4_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_text(queue, "body", "normal_body").select("id", "normal_body").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = item_key(F.col("item_type"), F.col("reddit_item_id")).alias("item")
+    history = table(spark, sf_dir, "reddit_leads").select("id", item, F.col("content").alias("text"))
+    pending = table(spark, sf_dir, "gemini_qualification_queue").filter(F.col("status") == "pending")
+    batches = pending.select("id", item, F.col("body").alias("text"), F.to_date("created_at").alias("batch"))
+    return already_accepted(history, batches, threshold=0.6, min_words=24, shingle=1).select(F.col("id").alias("queue_id"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+CONTEXT = 2048
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens of every document."""
+    sizes = encode(table(spark, sf_dir, "documents"), "text", ["doc_id"], ids_col="n_tokens", count_only=True)
+    return fill_containers(sizes, "doc_id", "n_tokens", CONTEXT)
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_statistics(spark, sf_dir).filter(F.col("label").isin("list", "table", "junk")).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -78,6 +111,11 @@ QUERIES = {
     "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_normal_form": p4_normal_form,
+    "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 
 ORACLES = {
