@@ -76,7 +76,8 @@ def chunk_state(text: str, first: bool, last: bool) -> dict:
     words = WORD.findall(text)
     starts, ends = bool(text) and not first and is_word(text[0]), bool(text) and not last and is_word(text[-1])
     bits = 0
-    for w in set(words[int(starts) : len(words) - int(ends)]):
+    inner = words[int(starts) : max(len(words) - int(ends), int(starts))]
+    for w in set(inner):
         bits |= 1 << (zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & 255)
     letters = sum(map(str.isalpha, text))
     digits = sum(map(str.isdigit, text))
@@ -92,12 +93,14 @@ def chunk_state(text: str, first: bool, last: bool) -> dict:
         "digits": digits,
         "symbols": len(text) - alnum - spaces,
         "spaces": spaces,
-        "common": sum(w.lower() in COMMON for w in words),
+        "common": sum(w.lower() in COMMON for w in inner),
         "hashtags": len(re.findall(r"(?<!\S)#\w", text)),
         "long_words": sum(len(w) for w in re.findall(r"\S{40,}", text)),
         "sentence_marks": sum(text.count(c) for c in SENTENCE_END),
         "starts": starts,
         "ends": ends,
+        "first_word": words[0].lower() if starts and words else None,
+        "last_word": words[-1].lower() if ends and words else None,
         "breaks": text.count("\n"),
         **{f"bits{k}": ((bits >> (64 * k)) & 0xFFFFFFFFFFFFFFFF) - (1 << 64 if bits >> (64 * k + 63) & 1 else 0) for k in range(4)},
     }
@@ -115,7 +118,7 @@ def chunk_state(text: str, first: bool, last: bool) -> dict:
 
 
 PIECE = "struct<words:bigint,chars:bigint,digits:bigint,delimiters:bigint,marker:boolean,url:boolean,last:string>"
-STATE = "doc bigint, pos int, parts int, " + ", ".join(f"{c} bigint" for c in SUMS) + ", starts boolean, ends boolean, breaks bigint, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint, " + ", ".join(f"{c} bigint" for c in LINES) + f", head {PIECE}, tail {PIECE}"
+STATE = "doc bigint, pos int, parts int, " + ", ".join(f"{c} bigint" for c in SUMS) + ", starts boolean, ends boolean, first_word string, last_word string, breaks bigint, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint, " + ", ".join(f"{c} bigint" for c in LINES) + f", head {PIECE}, tail {PIECE}"
 
 
 def chunk_states(chunks: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def chunk_states(chunks: DataFrame) -> DataFrame:
 def _schema() -> pa.Schema:
     part = pa.struct([*[(c, pa.int64()) for c in LINE], ("marker", pa.bool_()), ("url", pa.bool_()), ("last", pa.string())])
     bits = [(f"bits{k}", pa.int64()) for k in range(4)]
-    return pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("parts", pa.int32()), *[(c, pa.int64()) for c in SUMS], ("starts", pa.bool_()), ("ends", pa.bool_()), ("breaks", pa.int64()), *bits, *[(c, pa.int64()) for c in LINES], ("head", part), ("tail", part)])
+    return pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("parts", pa.int32()), *[(c, pa.int64()) for c in SUMS], ("starts", pa.bool_()), ("ends", pa.bool_()), ("first_word", pa.string()), ("last_word", pa.string()), ("breaks", pa.int64()), *bits, *[(c, pa.int64()) for c in LINES], ("head", part), ("tail", part)])
 
 
 SCHEMA = _schema()
@@ -145,6 +148,19 @@ def merged(states: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("pos")
     placed = states.filter("parts > 1").withColumn("line", F.coalesce(F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.withColumn("joined", (F.coalesce(F.lag("ends").over(order), F.lit(False)) & F.col("starts")).cast("long"))
+    # a word that a border cuts is put together before it counts as common or marks its bit;
+    # one that doesn't go on in the next chunk is whole as it is
+    goes_on = F.coalesce(F.lead("starts").over(order), F.lit(False))
+    before = F.lag("last_word").over(order)
+    opening = F.when(F.col("joined") == 1, F.concat(before, F.col("first_word"))).otherwise(F.col("first_word"))
+    closing = F.when(~goes_on, F.col("last_word"))
+    placed = placed.withColumn("whole", F.filter(F.array(opening, closing), lambda w: w.isNotNull()))
+    marks = F.transform("whole", lambda w: F.crc32(w.cast("binary")).bitwiseAND(255))
+    placed = placed.withColumn("marks", marks).withColumn("common", F.col("common") + F.size(F.filter("whole", lambda w: w.isin(*sorted(COMMON)))))
+    for k in range(4):
+        mine = F.filter("marks", lambda m: F.shiftright(m, 6) == k)
+        bits = F.aggregate(mine, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (m % 64).cast("int"))))
+        placed = placed.withColumn(f"bits{k}", F.col(f"bits{k}").bitwiseOR(bits))
     counted = placed.groupBy("doc").agg(*[F.sum(c).alias(c) for c in totals], F.sum("joined").alias("joined"), *[F.bit_or(f"bits{k}").alias(f"bits{k}") for k in range(4)])
 
     pieces = F.explode(F.array(F.struct("line", "joined", F.col("head").alias("p")), F.struct((F.col("line") + F.col("breaks")).alias("line"), F.lit(0).cast("long").alias("joined"), F.col("tail").alias("p")))).alias("x")
@@ -187,7 +203,7 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
     counts that add up, with the state of its borders (a word or a line that goes on);
     Spark's partial aggregation merges them as a tree, and cut words and lines are put
     together by their numbers. A document of a gigabyte is many small rows, and the result
-    doesn't depend on ``chunk``, up to words cut by a border missing from ``word_variety``.
+    doesn't depend on ``chunk`` (only a word longer than a whole chunk may change ``word_variety``).
 
     Defined cases: null, empty and blank texts and those under ``least_chars`` characters
     (blanks around them not counted) are labelled ``none`` and keep their counts (zero for
@@ -230,7 +246,7 @@ def rules(least_chars: int) -> Column:
     return (
         F.when(c("n_chars") < least_chars, "none")
         .when(c("n_black") == 0, "none")
-        .when((c("symbol_ratio") > 0.28) & (c("record_line_share") < 0.6), "junk")
+        .when((c("symbol_ratio") > 0.22) & (c("record_line_share") < 0.6), "junk")
         .when(c("long_word_share") > 0.5, F.when(c("record_line_share") >= 0.6, "table").otherwise("junk"))
         .when((c("n_latin") >= 20) & (c("n_latin") >= 0.6 * c("n_black")) & (c("vowel_ratio") < 0.27), "junk")
         .when(c("hashtag_share") > 0.3, "junk")

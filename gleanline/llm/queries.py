@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .abuse import content_scores, fit, rates
 from .capping import over_cap
 from .common import account_key, community_key, item_key
 from .forest import already_accepted
@@ -82,6 +83,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return already_accepted(history, batches, threshold=0.6, min_words=24, shingle=1).select(F.col("id").alias("queue_id"))
 
 
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every queue body and lead content, one row per table and id."""
+    queue = table(spark, sf_dir, "gemini_qualification_queue").select(F.lit("gemini_qualification_queue").alias("tbl"), F.col("id").alias("row_id"), community_key(F.col("subreddit")).alias("community"), F.col("body").alias("text"))
+    leads = table(spark, sf_dir, "reddit_leads").select(F.lit("reddit_leads").alias("tbl"), F.col("id").alias("row_id"), community_key(F.col("subreddit")).alias("community"), F.col("content").alias("text"))
+    scores = content_scores(queue.unionByName(leads), fit(table(spark, sf_dir, "content_labels")), ["tbl", "row_id", "community"])
+    return scores.dropDuplicates(["tbl", "row_id"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_scores(spark, sf_dir).filter(F.col("score") >= 0.5).select("tbl", "row_id")
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(p7_scores(spark, sf_dir), "community")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -112,6 +129,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_normal_form": p4_normal_form,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_rates": p7_rates,
+    "p7_scores": p7_scores,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
