@@ -1,0 +1 @@
+"""Discussion-signal analytics and training-data preparation on PySpark."""

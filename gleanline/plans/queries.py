@@ -1,6 +1,357 @@
-"""Registered queries over the reference's own operators, with their SQL oracles."""
+"""Registered queries over the reference's own operators. Their SQL oracles are in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import display, text
+from ..operators import matching, rules, scan, serving, tables, terms
+from ..sources.pages import page_content
+from ..sources.tables import read
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+#: The clock of all queries: what the reference takes from the system is a parameter here.
+NOW = "2026-08-31 23:59:59"
+
+
+def now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+def queue_items(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct queue items with their text: project_id, item_id, text."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "item_type", "title", "body"])
+    return q.dropDuplicates(["id"]).select("project_id", F.col("id").alias("item_id"), matching.item_text(F.col("item_type"), F.col("title"), F.col("body")).alias("text"))
+
+
+def normalized_items(spark: SparkSession, d: str) -> DataFrame:
+    return text.with_normalized(queue_items(spark, d), "text", "normalized").select("project_id", "item_id", "normalized")
+
+
+def normalize_text(spark, d):
+    return normalized_items(spark, d).select("item_id", "normalized")
+
+
+def tokenize_counts(spark, d):
+    t = text.tokens(F.col("normalized"))
+    return normalized_items(spark, d).select("item_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+def _plain_terms(spark, d):
+    return matching.prepared_terms(read(spark, d, "projects"))
+
+
+def _technique(spark, d, column, label, source=None, condition="category <> 'competitors'"):
+    """Matches of one technique alone: item_id, category, term."""
+    t = _plain_terms(spark, d).filter(condition).select("project_id", "category", "term", column(F.col("normalized")).alias("pattern")).filter("pattern is not null")
+    per_project = t.groupBy("project_id").agg(F.collect_set(F.struct("category", "term", "pattern")).alias("terms"))
+    subject = source(F.col("normalized")) if source else F.col("normalized")
+    joined = normalized_items(spark, d).join(per_project, "project_id").select("item_id", subject.alias("subject"), "terms")
+    found = F.filter("terms", lambda x: F.rlike(F.col("subject"), x["pattern"]))
+    return joined.select("item_id", F.explode(found).alias("m")).select("item_id", "m.category", "m.term").distinct()
+
+
+def flexible_phrase(spark, d):
+    return _technique(spark, d, matching.flexible_pattern, "flexible")
+
+
+def exact_competitor(spark, d):
+    return _technique(spark, d, matching.exact_pattern, "exact", condition="category = 'competitors'")
+
+
+def phrase_similarity(spark, d):
+    return _technique(spark, d, matching.similarity_pattern, "similar", source=lambda c: F.trim(text.token_text(c)))
+
+
+def fuzzy_vocab(spark, d):
+    words = matching.vocabulary(normalized_items(spark, d))
+    term_words = _plain_terms(spark, d).filter("category <> 'competitors'").select(F.explode(text.tokens(F.col("normalized"))).alias("term_word")).distinct()
+    return matching.fuzzy_neighbours(term_words, words)
+
+
+def stem_lemma_vocab(spark, d):
+    forms = text.stem_and_lemma(F.col("word"))
+    return matching.vocabulary(normalized_items(spark, d)).select("word", forms.alias("f")).select("word", "f.stem", "f.lemma")
+
+
+def match_engine(spark, d):
+    return matching.matching_engine(queue_items(spark, d), read(spark, d, "projects"))
+
+
+def match_counts(spark, d):
+    items = queue_items(spark, d)
+    return matching.match_counts(items, matching.matching_engine(items, read(spark, d, "projects")))
+
+
+def qualified_candidates(spark, d):
+    """The flagship: items with a match in any category, richest first."""
+    items = queue_items(spark, d)
+    counts = matching.match_counts(items, matching.matching_engine(items, read(spark, d, "projects")))
+    return counts.filter("n_categories > 0").orderBy(F.col("n_categories").desc(), "item_id", "project_id").limit(20)
+
+
+def search_terms(spark, d):
+    return terms.search_terms(read(spark, d, "projects")).select("project_id", F.col("position").cast("long").alias("position"), "term", "category")
+
+
+def term_batches(spark, d):
+    t = terms.term_batches(terms.search_terms(read(spark, d, "projects")))
+    return t.groupBy("project_id", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "term"))), lambda x: x["term"]), "|").alias("terms")).select("project_id", F.col("batch").cast("long").alias("batch"), "terms")
+
+
+def search_queries(spark, d):
+    return terms.search_terms(read(spark, d, "projects")).select("project_id", terms.search_query(F.col("term")).alias("query"))
+
+
+def clean_term_lists(spark, d):
+    p = read(spark, d, "projects")
+    return p.select("id", F.array_join(terms.distinct_list(F.col("keywords")), "|").alias("keywords"), F.array_join(terms.clean_list(F.col("keywords")), "|").alias("sanitized"), F.array_join(terms.capped_list(F.col("competitors"), 5), "|").alias("competitors"))
+
+
+def request_grid(spark, d):
+    p = read(spark, d, "projects")
+    return terms.request_grid(p, terms.search_terms(p)).groupBy("project_id").agg(F.count(F.lit(1)).alias("requests"), F.countDistinct("subreddit").alias("communities"))
+
+
+def posts(spark, d):
+    q = read(spark, d, "gemini_qualification_queue", ["reddit_item_id", "item_type", "subreddit", "title", "body", "author", "reddit_score", "num_comments", "item_created_at", "id"])
+    return q.filter("item_type = 'post'").select(F.col("reddit_item_id").alias("post_id"), "id", "subreddit", "title", "body", "author", F.coalesce("reddit_score", F.lit(0)).alias("score"), F.coalesce("num_comments", F.lit(0)).alias("num_comments"), F.col("item_created_at").alias("created_at"))
+
+
+def scan_window(spark, d):
+    return scan.recent(posts(spark, d), NOW).select("id", "post_id", "created_at").distinct()
+
+
+def search_posts(spark, d):
+    """The newest 25 posts per community and search term of each project."""
+    p = read(spark, d, "projects")
+    communities = p.select(F.col("id").alias("project_id"), F.explode("subreddits").alias("subreddit")).distinct()
+    grid = communities.join(terms.search_terms(p).select("project_id", "term"), "project_id")
+    return scan.search(posts(spark, d).dropDuplicates(["id"]), grid).select("project_id", "subreddit", "term", "id")
+
+
+def post_cap_per_community(spark, d):
+    """The first 50 deliveries per community, then one row per post."""
+    arrival = [F.col("created_at"), F.col("id")]
+    once = posts(spark, d).dropDuplicates(["id"])
+    capped = scan.first_per(once, ["subreddit"], arrival, 50)
+    return scan.first_per(capped, ["post_id"], arrival).select("subreddit", "post_id", "id")
+
+
+def dedupe_items(spark, d):
+    """One row per queue id: the one updated last."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "updated_at", "attempt_count", "status"])
+    return scan.first_per(q, ["id"], [F.col("updated_at").desc_nulls_last(), F.col("attempt_count").desc_nulls_last()]).select("id", "updated_at", F.col("attempt_count").cast("long").alias("attempt_count"))
+
+
+def comments_of_kept_posts(spark, d):
+    q = read(spark, d, "gemini_qualification_queue", ["id", "item_type", "parent_post_id", "item_created_at"])
+    comments = q.filter("item_type = 'comment'").select("id", F.col("parent_post_id").alias("post_id"), F.col("item_created_at").alias("created_at")).distinct()
+    kept = scan.recent(posts(spark, d), NOW, 365).select(F.col("post_id").alias("id"))
+    return scan.comments_of(comments, kept, [F.col("created_at"), F.col("id")]).select("post_id", "id")
+
+
+def enqueue_new(spark, d):
+    """Leads offered to the queue: those whose item the project has not queued are taken."""
+    q = read(spark, d, "gemini_qualification_queue", ["project_id", "reddit_item_id", "id"])
+    new = read(spark, d, "reddit_leads", ["project_id", "reddit_item_id", "id"])
+    merged, _ = tables.insert_or_ignore(q, new, ["project_id", "reddit_item_id"], [F.col("id")])
+    return merged.distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("reddit_item_id").alias("items"))
+
+
+def quarantine(spark, d):
+    """Queue rows that break a constraint, with the names of the broken ones."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "item_type", "parent_post_id", "title", "status", "attempt_count", "qualification_reason"])
+    shape = (F.col("item_type") == "post") & F.col("parent_post_id").isNull() & F.col("title").isNotNull() | (F.col("item_type") == "comment") & F.col("parent_post_id").isNotNull() & F.col("title").isNull()
+    checks = {"shape": shape, "status": F.col("status").isin("pending", "processing", "completed", "failed"), "attempts": F.col("attempt_count") >= 0, "reason": F.col("qualification_reason").isin("intent_or_pain", "score_threshold")}
+    _, bad = tables.valid_rows(q, checks)
+    return bad.select("id", F.array_join("failed_checks", ",").alias("failed_checks")).distinct()
+
+
+def upsert_leads(spark, d):
+    """Qualified queue rows written over the leads of the same item; a lead's status stays."""
+    leads = read(spark, d, "reddit_leads", ["id", "project_id", "reddit_item_id", "ai_score", "status"])
+    leads = scan.first_per(leads, ["project_id", "reddit_item_id"], [F.col("id"), F.col("status").asc_nulls_last(), F.col("ai_score").asc_nulls_last()])
+    q = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "reddit_item_id", "ai_score", "ai_qualified"]).filter("ai_qualified").drop("ai_qualified")
+    new = scan.first_per(q, ["project_id", "reddit_item_id"], [F.col("id"), F.col("ai_score").asc_nulls_last()]).select("project_id", "reddit_item_id", "ai_score", "id")
+    return tables.upsert(leads, new.drop("id"), ["project_id", "reddit_item_id"], {"status": "new"}).select("project_id", "reddit_item_id", F.col("ai_score").cast("long").alias("ai_score"), "status")
+
+
+def update_status(spark, d):
+    """Strong new leads become contacted; counts per status after it."""
+    leads = read(spark, d, "reddit_leads", ["id", "ai_score", "status", "updated_at"])
+    hit = (F.col("status") == "new") & (F.col("ai_score") >= 9)
+    after = tables.update_where(leads, hit, {"status": F.lit("contacted"), "updated_at": now()})
+    return after.groupBy("status").agg(F.count(F.lit(1)).alias("rows"), F.max("updated_at").alias("last_update"))
+
+
+def delete_leads(spark, d):
+    leads = read(spark, d, "reddit_leads", ["id", "project_id", "status"])
+    return tables.delete_where(leads, F.col("status") == "ignored").groupBy("project_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def fail_stale_runs(spark, d):
+    runs = read(spark, d, "sync_logs")
+    late = serving.stale(F.col("status"), F.col("started_at"), now())
+    after = tables.update_where(runs, late, {"status": F.lit("failed"), "error_message": F.lit("The scan timed out."), "completed_at": now(), "updated_at": now()})
+    return after.select("id", "status", "error_message", "completed_at", "updated_at")
+
+
+def stale_runs_count(spark, d):
+    runs = read(spark, d, "sync_logs")
+    return tables.affected(runs, serving.stale(F.col("status"), F.col("started_at"), now()))
+
+
+def _leads(spark, d):
+    columns = ["id", "project_id", "user_id", "subreddit", "author", "content", "permalink", "score", "ai_score", "ai_match_type", "ai_lead_summary", "ai_match_reason", "safety_badge", "status", "item_created_at", "created_at"]
+    return read(spark, d, "reddit_leads", columns)
+
+
+def _list(options):
+    def query(spark, d):
+        rows = _leads(spark, d).select("id", "ai_score", "item_created_at").distinct()
+        return serving.list_leads(rows, options).select("id", F.col("ai_score").cast("long").alias("ai_score"), "item_created_at")
+
+    return query
+
+
+def lead_stats(spark, d):
+    return serving.lead_stats(_leads(spark, d), ["user_id", "project_id"])
+
+
+def clean_leads(spark, d):
+    c = serving.clean_leads(_leads(spark, d))
+    return c.select("id", "subreddit", "author", F.col("score").cast("long").alias("score"), F.col("ai_score").cast("long").alias("ai_score"), "safety_badge", "status")
+
+
+def clean_runs(spark, d):
+    return serving.clean_runs(read(spark, d, "sync_logs")).select("id", "status", F.col("leads_found").cast("long").alias("leads_found"))
+
+
+def tenant_projects(spark, d):
+    """Every tenant's projects without hidden columns, newest first."""
+    p = serving.without_hidden(serving.clean_projects(read(spark, d, "projects")))
+    return p.select("user_id", "id", "name", "description", F.size("keywords").cast("long").alias("n_keywords"), "created_at").orderBy(F.col("created_at").desc(), "id")
+
+
+def latest_scan(spark, d):
+    return serving.latest(serving.clean_runs(read(spark, d, "sync_logs"))).select("project_id", "id", "status", "started_at")
+
+
+def queue_since_scan(spark, d):
+    rows = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "created_at"]).distinct()
+    return serving.count_since(read(spark, d, "sync_logs", ["id", "project_id", "started_at"]), rows, "queued")
+
+
+def leads_since_scan(spark, d):
+    rows = read(spark, d, "reddit_leads", ["id", "project_id", "created_at"]).distinct()
+    return serving.count_since(read(spark, d, "sync_logs", ["id", "project_id", "started_at"]), rows, "leads")
+
+
+def scan_stages(spark, d):
+    """The stage, its text and redirect of every project's latest scan."""
+    p = read(spark, d, "projects", ["id"]).select(F.col("id").alias("project_id"))
+    last = latest_scan(spark, d)
+    rows = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "created_at"]).distinct()
+    counted = serving.count_since(last.select("id", "project_id", "started_at"), rows, "queued").select("project_id", "queued")
+    both = p.join(last.select("project_id", "status"), "project_id", "left").join(counted, "project_id", "left")
+    stage = display.scan_stage(F.col("status"), F.coalesce("queued", F.lit(0)))
+    return both.withColumn("stage", stage).select("project_id", "stage", display.stage_text(F.col("stage")).alias("label"), display.redirect(F.col("project_id"), F.col("stage")).alias("redirect"))
+
+
+def oldest_pending(spark, d):
+    """The ten rows of each project that have waited longest."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "status", "created_at"]).filter("status = 'pending'").drop("status").distinct()
+    return serving.oldest(q, 10, "project_id").select("project_id", "id", "created_at")
+
+
+def community_rules(spark, d):
+    return rules.rule_findings(read(spark, d, "subreddit_rules"))
+
+
+def leads_with_badge(spark, d):
+    leads = read(spark, d, "reddit_leads", ["id", "subreddit"]).distinct()
+    return rules.with_badge(leads, read(spark, d, "subreddit_rules")).groupBy("badge").agg(F.count(F.lit(1)).alias("leads"))
+
+
+def format_leads(spark, d):
+    rows = _leads(spark, d).select("id", "ai_score", "subreddit", "item_created_at").distinct()
+    start, end = display.day_bounds(F.col("item_created_at"))
+    return rows.select("id", display.score_text(F.col("ai_score")).alias("score_text"), display.community_text(F.col("subreddit")).alias("community"), display.time_text(F.col("item_created_at"), "yyyy-MM-dd HH:mm").alias("posted"), start.cast("timestamp_ntz").alias("day_start"), end.cast("timestamp_ntz").alias("day_end"))
+
+
+def project_urls(spark, d):
+    p = read(spark, d, "projects", ["id", "website_url"])
+    url = display.normal_url(F.col("website_url"))
+    return p.select("id", url.alias("url"), display.name_from_url(url).alias("name"), display.looks_like_site(F.col("website_url")).alias("looks_fine"), display.icon_url(url).alias("icon"))
+
+
+def page_extract(spark, d):
+    """Pages made of the projects' own fields, read back."""
+    p = read(spark, d, "projects", ["id", "name", "description", "keywords"])
+    html = F.concat(F.lit("<html><head><title> "), F.col("name"), F.lit('</title><meta name="description" content="'), F.coalesce("description", F.lit("")), F.lit('"><style>p{}</style></head><body><h1>'), F.col("name"), F.lit("</h1><script>var x = '<h2>no</h2>';</script><h2> </h2><p>"), F.array_join("keywords", "</p>\n<p>"), F.lit("</p></body></html>"))
+    c = page_content(p.select("id", html.alias("html")), ["id"])
+    return c.select("id", "title", "meta_description", F.array_join("headings", "|").alias("headings"), "body_text")
+
+
+def matched_terms_json(spark, d):
+    """The stored match struct as JSON and back: matches per category over the table."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "matched_terms"])
+    kind = q.schema["matched_terms"].dataType
+    back = q.select("id", F.from_json(F.to_json("matched_terms"), kind).alias("m"))
+    size = lambda c: F.sum(F.greatest(F.size(f"m.{c}"), F.lit(0))).alias(c)
+    return back.agg(size("keywords"), size("intent_phrases"), size("pain_phrases"), size("competitors"))
+
+
+QUERIES = {
+    "qualified_candidates": qualified_candidates,
+    "normalize_text": normalize_text,
+    "tokenize_counts": tokenize_counts,
+    "flexible_phrase": flexible_phrase,
+    "exact_competitor": exact_competitor,
+    "phrase_similarity": phrase_similarity,
+    "fuzzy_vocab": fuzzy_vocab,
+    "stem_lemma_vocab": stem_lemma_vocab,
+    "match_engine": match_engine,
+    "match_counts": match_counts,
+    "search_terms": search_terms,
+    "term_batches": term_batches,
+    "search_queries": search_queries,
+    "clean_term_lists": clean_term_lists,
+    "request_grid": request_grid,
+    "scan_window": scan_window,
+    "search_posts": search_posts,
+    "post_cap_per_community": post_cap_per_community,
+    "dedupe_items": dedupe_items,
+    "comments_of_kept_posts": comments_of_kept_posts,
+    "enqueue_new": enqueue_new,
+    "quarantine": quarantine,
+    "upsert_leads": upsert_leads,
+    "update_status": update_status,
+    "delete_leads": delete_leads,
+    "fail_stale_runs": fail_stale_runs,
+    "stale_runs_count": stale_runs_count,
+    "list_leads_newest": _list(serving.ListOptions(since="2026-06-01 00:00:00", until="2026-07-31 23:59:59")),
+    "list_leads_oldest": _list(serving.ListOptions(sort="oldest", bands=("partial",))),
+    "list_leads_highest": _list(serving.ListOptions(sort="highest_score", bands=("strong", "partial"))),
+    "list_leads_lowest": _list(serving.ListOptions(sort="lowest_score", bands=("strong",))),
+    "list_leads_top4": _list(serving.ListOptions(sort="highest_score", limit=4)),
+    "lead_stats": lead_stats,
+    "clean_leads": clean_leads,
+    "clean_runs": clean_runs,
+    "tenant_projects": tenant_projects,
+    "latest_scan": latest_scan,
+    "queue_since_scan": queue_since_scan,
+    "leads_since_scan": leads_since_scan,
+    "scan_stages": scan_stages,
+    "oldest_pending": oldest_pending,
+    "community_rules": community_rules,
+    "leads_with_badge": leads_with_badge,
+    "format_leads": format_leads,
+    "project_urls": project_urls,
+    "page_extract": page_extract,
+    "matched_terms_json": matched_terms_json,
+}
