@@ -27,6 +27,11 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def guarded(subject: Column, pattern: Column, needed: Column) -> Column:
+    """Whether ``subject`` matches; a text without the ``needed`` words, found fast, isn't tried."""
+    return F.coalesce(F.exists(needed, lambda w: F.contains(subject, w)) & F.rlike(subject, pattern), F.lit(False))
+
+
 def flexible_pattern(normalized: Column) -> Column:
     """The words of a term with anything but letters and digits between them, bounded by the same."""
     words = F.filter(F.split(normalized, " "), lambda w: w != "")
@@ -38,9 +43,13 @@ def exact_pattern(normalized: Column) -> Column:
     return F.when(normalized != "", F.concat(F.lit(LEFT), quoted(normalized), F.lit(RIGHT)))
 
 
+def meaning_words(normalized: Column) -> Column:
+    return F.filter(tokens(normalized), lambda w: ~w.isin(*FILLER_WORDS))
+
+
 def similarity_pattern(normalized: Column) -> Column:
     """The meaning-bearing words in order, with up to three filler words between neighbours; null if none is left."""
-    words = F.filter(tokens(normalized), lambda w: ~w.isin(*FILLER_WORDS))
+    words = meaning_words(normalized)
     gap = f"(?: (?:{'|'.join(FILLER_WORDS)})){{0,{MAX_FILLERS}}} "
     return F.when(F.size(words) > 0, F.concat(F.lit(BEGIN), F.array_join(words, gap), F.lit(END)))
 
@@ -71,37 +80,50 @@ def fuzzy_neighbours(term_words: DataFrame, words: DataFrame) -> DataFrame:
     return close.filter(within_one_edit(F.col("term_word"), F.col("word")))
 
 
-def form_neighbours(term_words: DataFrame, words: DataFrame, form: str) -> DataFrame:
-    """(term_word, word): different words of two letters or more with the same stem or lemma."""
-    both = lambda df, c: df.filter(F.length(c) >= 2).select(c, stem_and_lemma(F.col(c))[form].alias("form"))
-    return both(term_words, "term_word").join(both(words, "word"), "form").filter("term_word <> word").select("term_word", "word").distinct()
+def form_neighbours(term_words: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, term_word, word): different words of two letters or more with the same stem or the same lemma."""
+
+    def forms(df: DataFrame, c: str) -> DataFrame:
+        both = df.filter(F.length(c) >= 2).select(c, stem_and_lemma(F.col(c)).alias("f"))
+        kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"f.{k}").alias("form")) for k in ("stem", "lemma")]))
+        return both.select(c, kinds.alias("k")).select(c, "k.kind", "k.form")
+
+    return forms(term_words, "term_word").join(forms(words, "word"), ["kind", "form"]).filter("term_word <> word").select("kind", "term_word", "word").distinct()
+
+
+KINDS = ["fuzzy", "stem", "lemma"]
 
 
-def window_patterns(terms: DataFrame, neighbours: DataFrame, out: str) -> DataFrame:
-    """(normalized, pattern): a run of tokens of which each equals or neighbours the term's, at least one of them the latter.
+def window_patterns(terms: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(normalized, fuzzy, stem, lemma): patterns for a run of tokens of which each equals or neighbours the term's, at least one the latter.
 
-    The pattern is one alternative per place that may differ; terms without neighbours have none.
+    A pattern is one alternative per place that may differ; terms without neighbours of a
+    kind have none. With it come its ``starts``: the words one of which a text must hold to match.
     """
-    near = neighbours.groupBy("term_word").agg(F.array_join(F.sort_array(F.collect_set("word")), "|").alias("near"))
-    places = terms.select("normalized").distinct().select("normalized", F.posexplode(tokens(F.col("normalized"))).alias("place", "term_word"))
-    known = places.join(near, "term_word", "left")
-    rows = known.groupBy("normalized").agg(F.sort_array(F.collect_list(F.struct("place", "term_word", "near"))).alias("ps"))
+    near = neighbours.groupBy("kind", "term_word").agg(F.sort_array(F.collect_set("word")).alias("words")).withColumn("near", F.array_join("words", "|"))
+    kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("kind")
+    places = terms.select("normalized").distinct().select("normalized", kinds).select("normalized", "kind", F.posexplode(tokens(F.col("normalized"))).alias("place", "term_word"))
+    known = places.join(near, ["kind", "term_word"], "left")
+    rows = known.groupBy("normalized", "kind").agg(F.sort_array(F.collect_list(F.struct("place", "term_word", "near", "words"))).alias("ps"))
     either = lambda p: F.when(p["near"].isNull(), p["term_word"]).otherwise(F.concat(F.lit("(?:"), p["term_word"], F.lit("|"), p["near"], F.lit(")")))
     alternative = lambda at: F.array_join(F.transform("ps", lambda p: F.when(p["place"] == at["place"], F.concat(F.lit("(?:"), p["near"], F.lit(")"))).otherwise(either(p))), " ")
     options = F.transform(F.filter("ps", lambda p: p["near"].isNotNull()), alternative)
-    return rows.filter(F.exists("ps", lambda p: p["near"].isNotNull())).select("normalized", F.concat(F.lit(BEGIN + "(?:"), F.array_join(options, "|"), F.lit(")" + END)).alias(out))
+    first = F.element_at("ps", 1)
+    starts = F.concat(F.array(first["term_word"]), F.coalesce(first["words"], F.array().cast("array<string>")))
+    pattern = F.concat(F.lit(BEGIN + "(?:"), F.array_join(options, "|"), F.lit(")" + END))
+    made = rows.filter(F.exists("ps", lambda p: p["near"].isNotNull())).select("normalized", "kind", F.struct(pattern.alias("pattern"), starts.alias("starts")).alias("p"))
+    return made.groupBy("normalized").agg(*[F.first(F.when(F.col("kind") == k, F.col("p")), ignorenulls=True).alias(k) for k in KINDS])
 
 
 def term_patterns(terms: DataFrame, words: DataFrame, inexact: bool = True) -> DataFrame:
     """Prepared terms with the pattern of every technique (null where a technique can't match)."""
-    out = terms.select("project_id", "category", "category_rank", "ordinal", "term", "normalized", flexible_pattern(F.col("normalized")).alias("flexible"), exact_pattern(F.col("normalized")).alias("exact"), similarity_pattern(F.col("normalized")).alias("similar"))
+    out = terms.select("project_id", "category", "category_rank", "ordinal", "term", "normalized", flexible_pattern(F.col("normalized")).alias("flexible"), exact_pattern(F.col("normalized")).alias("exact"), similarity_pattern(F.col("normalized")).alias("similar"), F.split("normalized", " ")[0].alias("first_word"), F.slice(meaning_words(F.col("normalized")), 1, 1).alias("meaning"))
     if not inexact:
         return out
     others = terms.filter("category <> 'competitors'")
     term_words = others.select(F.explode(tokens(F.col("normalized"))).alias("term_word")).distinct()
-    for name, near in (("fuzzy", fuzzy_neighbours(term_words, words)), ("stem", form_neighbours(term_words, words, "stem")), ("lemma", form_neighbours(term_words, words, "lemma"))):
-        out = out.join(window_patterns(others, near, name), "normalized", "left")
-    return out
+    near = fuzzy_neighbours(term_words, words).select(F.lit("fuzzy").alias("kind"), "term_word", "word").unionByName(form_neighbours(term_words, words))
+    return out.join(window_patterns(others, near), "normalized", "left")
 
 
 def match_items(items: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -111,16 +133,17 @@ def match_items(items: DataFrame, patterns: DataFrame) -> DataFrame:
     phrase, fuzzy, stem, lemma, phrase similarity; competitors know the exact match only.
     Two spellings of a term count as two terms.
     """
-    columns = ["category", "category_rank", "ordinal", "term", "flexible", "exact", "similar", "fuzzy", "stem", "lemma"]
+    columns = ["category", "category_rank", "ordinal", "term", "normalized", "first_word", "meaning", "flexible", "exact", "similar", "fuzzy", "stem", "lemma"]
     per_project = patterns.groupBy("project_id").agg(F.collect_list(F.struct(*columns)).alias("terms"))
     text, words = F.col("normalized"), F.col("token_text")
 
     def technique(t: Column) -> Column:
-        hit = lambda text_, p: p.isNotNull() & F.coalesce(F.rlike(text_, p), F.lit(False))
-        ranked = F.when(hit(text, t["flexible"]), TECHNIQUES[0])
-        for name, source, label in (("fuzzy", words, TECHNIQUES[1]), ("stem", words, TECHNIQUES[2]), ("lemma", words, TECHNIQUES[3]), ("similar", words, TECHNIQUES[4])):
-            ranked = ranked.when(hit(source, t[name]), label)
-        return F.when(t["category"] == "competitors", F.when(hit(text, t["exact"]), EXACT)).otherwise(ranked)
+        ranked = F.when(guarded(text, t["flexible"], F.array(t["first_word"])), TECHNIQUES[0])
+        for name, label in (("fuzzy", TECHNIQUES[1]), ("stem", TECHNIQUES[2]), ("lemma", TECHNIQUES[3])):
+            ranked = ranked.when(guarded(words, t[name]["pattern"], t[name]["starts"]), label)
+        ranked = ranked.when(guarded(words, t["similar"], t["meaning"]), TECHNIQUES[4])
+        exact = F.when(guarded(text, t["exact"], F.array(t["normalized"])), EXACT)
+        return F.when(t["category"] == "competitors", exact).otherwise(ranked)
 
     tested = F.transform("terms", lambda t: F.struct(t["category"].alias("category"), t["category_rank"].alias("category_rank"), t["ordinal"].alias("ordinal"), t["term"].alias("term"), technique(t).alias("technique")))
     found = F.filter(tested, lambda t: t["technique"].isNotNull())
