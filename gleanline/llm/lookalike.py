@@ -99,7 +99,8 @@ def look_form(text: str) -> str:
 
 def canonical_form(text: str) -> str:
     """The form for comparisons: compatibility composed, full case folding, look-alikes and white space mapped, ignorable characters gone."""
-    folded = unicodedata.normalize("NFKC", drop_joiners(line_feeds(text)).translate(COMPAT)).casefold()
+    # look-alikes first: a capital of another script may fold to a letter that looks like none
+    folded = unicodedata.normalize("NFKC", look_form(text).translate(COMPAT)).casefold()
     return unicodedata.normalize("NFKC", look_form(folded))
 
 
