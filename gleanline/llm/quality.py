@@ -11,7 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+
 CHUNK = 16_384
+#: A chunk comes with so many characters before it; words are known by no more of their end.
+BEFORE = 24
 # Frequent function words of English, German, French and Spanish.
 COMMON = frozenset("""
     the a an and or of to in for with on at by from as is are was were be been it its this that which our we my i you they not no but if so than then there has have had do does did will would can could
@@ -20,105 +24,123 @@ COMMON = frozenset("""
     el los las una unos con por para del al y o en se su sus mi nuestro nuestra es no que más sin lo
 """.split())
 WORD = re.compile(r"[^\W_]+")
-MARKER = re.compile(r"\s*(?:[-*•–—+‣◦]|\d{1,4}\s*[.)\-:]|\[[ xX]?\]|\|)\s*")
-DELIMITER = re.compile(r"\t|\||[,;]|=| {2,}")
-URL = re.compile(r"\s*https?://")
-VOWELS = frozenset("aeiouyäöüàâáãåæéèêëíìîïóòôõøœúùûAEIOUYÄÖÜÉÈÓÍÁÚ")
+MARKER = r"^\s*(?:[-*•–—+‣◦]|\d{1,4}\s*[.)\-:]|\[[ xX]?\]|\|)\s*"
+URL = r"^\s*https?://"
+MARKED, LINKED = re.compile(MARKER), re.compile(URL)
+DELIMITER = re.compile(r"[\t|,;=]|(?<=(?<! ) ) ")
+HASHTAG = re.compile(r"(?<=#)(?<!\S#)[^\W_]")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+LONG = re.compile(rf"\S{{{BEFORE + 1},}}")
+VOWELS = "aeiouyäöüàâáãåæéèêëíìîïóòôõøœúùûAEIOUYÄÖÜÉÈÓÍÁÚ"
 SENTENCE_END = ".!?…。！？؟।"
 CLOSERS = "\"'”’»)*_ "
+PREFIX = 64
 #: Counts that add up over the pieces of a document.
-SUMS = ["chars", "words", "word_chars", "letters", "vowels", "latin", "digits", "symbols", "spaces", "common", "hashtags", "long_words", "sentence_marks"]
-LINE = ["words", "chars", "digits", "delimiters"]
-#: Line classes, in the order of ``line_class``.
+SUMS = ["chars", "words", "word_chars", "vowels", "latin", "digits", "spaces", "common", "hashtags", "long_chars"]
+#: What whole lines add up to.
 LINES = ["lines", "ended_lines", "item_lines", "item_words", "record_lines", "record_words"]
 
+_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
+_VOWELS = bytes(ord(c) for c in VOWELS if ord(c) < 128)
+_DIGITS, _SPACES = b"0123456789", bytes(c for c in range(128) if chr(c).isspace())
+
+
+def character_counts(text: str) -> tuple[int, int, int, int]:
+    """Vowels, Latin letters, digits and white space of a text."""
+    raw = text.encode("ascii", "ignore")
+    counts = [len(raw) - len(raw.translate(None, kind)) for kind in (_VOWELS, _LETTERS, _DIGITS, _SPACES)]
+    if len(raw) < len(text):
+        rest = "".join(BEYOND_ASCII.findall(text))
+        more = sum(map(VOWELS.__contains__, rest)), sum(c.isalpha() and c < "\u0250" for c in rest), sum(map(str.isdigit, rest)), sum(map(str.isspace, rest))
+        counts = [a + b for a, b in zip(counts, more)]
+    return tuple(counts)
+
 
-def line_sums(words: int, chars: int, digits: int, delimiters: int, marker: bool, url: bool, last: str) -> list[int]:
+def line_sums(words: int, black: int, digits: int, delimiters: int, prefix: str, last: str) -> tuple[int, ...]:
     """What a whole line adds to ``LINES``.
 
     An item is a short line without the end of a sentence; a record has several fields (delimiters)
     and many digits, or is a link, or a row of a ruled table.
     """
-    if chars == 0:
-        return [0] * len(LINES)
-    ended = last in SENTENCE_END and last != ""
-    record = url or (not ended and delimiters >= 2 and (digits >= 0.15 * chars or delimiters >= 0.5 * max(words, 1)))
-    item = not record and not ended and (words <= 8 if not marker else words <= 12)
-    return [1, int(ended), int(item), words * item, int(record), words * record]
-
-
-def piece(text: str) -> dict:
-    """The part of a line that lies in one chunk."""
-    body = text.strip()
-    marker = MARKER.match(text)
-    tail = text.rstrip().rstrip(CLOSERS)
+    if black == 0:
+        return (0,) * len(LINES)
+    ended = last != "" and last in SENTENCE_END
+    record = bool(LINKED.match(prefix)) or (not ended and delimiters >= 2 and (digits >= 0.15 * black or delimiters >= max(0.5 * words, 0.1 * black)))
+    item = not record and not ended and words <= (12 if MARKED.match(prefix) else 8)
+    return 1, int(ended), int(item), words * item, int(record), words * record
+
+
+def piece(text: str, before: str) -> dict:
+    """The part of a line that lies in one chunk, after the characters ``before`` of the same line."""
+    _, _, digits, spaces = character_counts(text)
     return {
-        "words": len(WORD.findall(text)),
-        "chars": len(body),
-        "digits": sum(map(str.isdigit, text)),
-        "delimiters": len(DELIMITER.findall(body)),
-        "marker": bool(marker),
-        "url": bool(URL.match(text)),
-        "last": tail[-1:] or body[-1:],
+        "words": len(WORD.findall(text)) - continues(before, text),
+        "black": len(text) - spaces,
+        "digits": digits,
+        "delimiters": matches_after(DELIMITER, before, text),
+        "prefix": text[:PREFIX],
+        "last": text.rstrip().rstrip(CLOSERS)[-1:],
     }
 
 
-def is_word(ch: str) -> bool:
-    return ch.isalnum()
+def continues(before: str, text: str) -> bool:
+    return bool(before and text) and before[-1].isalnum() and text[0].isalnum()
 
 
-def chunk_state(text: str, first: bool, last: bool) -> dict:
-    """Associative partial counts of one chunk, with the state of its borders.
+def matches_after(pattern: re.Pattern, before: str, text: str) -> int:
+    """Matches of a one-character pattern in ``text`` that may look at the characters before it."""
+    return sum(m.start() >= len(before) for m in pattern.finditer(before + text)) if before else len(pattern.findall(text))
 
-    A word cut by a border is counted in both chunks; ``starts`` and ``ends`` say so. The
-    pieces of lines cut by borders are not classed here but given as ``head`` and ``tail``.
+
+def chunk_state(text: str, before: str, after: str, first: bool, last: bool) -> dict:
+    """Associative partial counts of one chunk, given the state of its borders.
+
+    ``before`` has the characters in front of the chunk, ``after`` the one behind it. A word
+    counts where it begins; what it is counts where it ends. Lines cut by a border are not
+    classed here but given as their pieces, ``head`` and ``tail``.
     """
-    words = WORD.findall(text)
-    starts, ends = bool(text) and not first and is_word(text[0]), bool(text) and not last and is_word(text[-1])
+    found = WORD.findall(text)
+    goes_on, joined = continues(text, after), continues(before, text)
+    ending = found[: len(found) - goes_on]
+    if joined and ending:
+        ending[0] = WORD.findall(before)[-1] + ending[0]
+    ending = " ".join(ending).lower().split(" ") if ending else []
     bits = 0
-    inner = words[int(starts) : max(len(words) - int(ends), int(starts))]
-    for w in set(inner):
-        bits |= 1 << (zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & 255)
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
-    spaces = sum(map(str.isspace, text))
-    alnum = sum(map(len, words))
+    for w in set(ending):
+        bits |= 1 << (zlib.crc32(w[-BEFORE:].encode("utf-8", "surrogatepass")) & 255)
+    vowels, latin, digits, spaces = character_counts(text)
     state = {
         "chars": len(text),
-        "words": len(words),
-        "word_chars": alnum,
-        "letters": letters,
-        "vowels": sum(c in VOWELS for c in text),
-        "latin": sum(c.isalpha() and ord(c) < 0x250 for c in text),
+        "words": len(found) - joined,
+        "word_chars": sum(map(len, found)),
+        "vowels": vowels,
+        "latin": latin,
         "digits": digits,
-        "symbols": len(text) - alnum - spaces,
         "spaces": spaces,
-        "common": sum(w.lower() in COMMON for w in inner),
-        "hashtags": len(re.findall(r"(?<!\S)#\w", text)),
-        "long_words": sum(len(w) for w in re.findall(r"\S{40,}", text)),
-        "sentence_marks": sum(text.count(c) for c in SENTENCE_END),
-        "starts": starts,
-        "ends": ends,
-        "first_word": words[0].lower() if starts and words else None,
-        "last_word": words[-1].lower() if ends and words else None,
+        "common": sum(map(COMMON.__contains__, ending)),
+        "hashtags": matches_after(HASHTAG, before, text),
+        "long_chars": sum(max(0, m.end() - max(m.start() + BEFORE, len(before))) for m in LONG.finditer(before + text)),
         "breaks": text.count("\n"),
         **{f"bits{k}": ((bits >> (64 * k)) & 0xFFFFFFFFFFFFFFFF) - (1 << 64 if bits >> (64 * k + 63) & 1 else 0) for k in range(4)},
     }
     lines = text.split("\n")
     head = tail = None
     if not first:
-        head, lines = piece(lines[0]), lines[1:]
+        head, lines = piece(lines[0], before.rsplit("\n", 1)[-1]), lines[1:]
     if not last and lines:
-        tail, lines = piece(lines[-1]), lines[:-1]
+        tail, lines = piece(lines[-1], ""), lines[:-1]
     sums = [0] * len(LINES)
     for line in lines:
-        p = piece(line)
-        sums = [a + b for a, b in zip(sums, line_sums(p["words"], p["chars"], p["digits"], p["delimiters"], p["marker"], p["url"], p["last"]))]
+        sums = [a + b for a, b in zip(sums, line_sums(**piece(line, "")))]
     return state | dict(zip(LINES, sums)) | {"head": head, "tail": tail}
 
 
-PIECE = "struct<words:bigint,chars:bigint,digits:bigint,delimiters:bigint,marker:boolean,url:boolean,last:string>"
-STATE = "doc bigint, pos int, parts int, " + ", ".join(f"{c} bigint" for c in SUMS) + ", starts boolean, ends boolean, first_word string, last_word string, breaks bigint, bits0 bigint, bits1 bigint, bits2 bigint, bits3 bigint, " + ", ".join(f"{c} bigint" for c in LINES) + f", head {PIECE}, tail {PIECE}"
+BITS = [f"bits{k}" for k in range(4)]
+LONGS = [*SUMS, "breaks", *BITS, *LINES]
+PIECE = "struct<words:bigint,black:bigint,digits:bigint,delimiters:bigint,prefix:string,last:string>"
+STATE = "doc bigint, pos int, parts int, " + ", ".join(f"{c} bigint" for c in LONGS) + f", head {PIECE}, tail {PIECE}"
+_PART = pa.struct([*[(c, pa.int64()) for c in ("words", "black", "digits", "delimiters")], ("prefix", pa.string()), ("last", pa.string())])
+SCHEMA = pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("parts", pa.int32()), *[(c, pa.int64()) for c in LONGS], ("head", _PART), ("tail", _PART)])
 
 
 def chunk_states(chunks: DataFrame) -> DataFrame:
@@ -126,62 +148,35 @@ def chunk_states(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500).to_pylist()
-                out = [{"doc": r["doc"], "pos": r["pos"], "parts": r["parts"], **chunk_state(r["chunk"], r["pos"] == 0, r["pos"] == r["parts"] - 1)} for r in rows]
+                out = [{"doc": r["doc"], "pos": r["pos"], "parts": r["parts"], **chunk_state(r["chunk"], r["before"], r["after"], r["pos"] == 0, r["pos"] == r["parts"] - 1)} for r in rows]
                 yield pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
     return chunks.mapInArrow(run, STATE)
 
 
-def _schema() -> pa.Schema:
-    part = pa.struct([*[(c, pa.int64()) for c in LINE], ("marker", pa.bool_()), ("url", pa.bool_()), ("last", pa.string())])
-    bits = [(f"bits{k}", pa.int64()) for k in range(4)]
-    return pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("parts", pa.int32()), *[(c, pa.int64()) for c in SUMS], ("starts", pa.bool_()), ("ends", pa.bool_()), ("first_word", pa.string()), ("last_word", pa.string()), ("breaks", pa.int64()), *bits, *[(c, pa.int64()) for c in LINES], ("head", part), ("tail", part)])
-
-
-SCHEMA = _schema()
-
-
-def merged(states: DataFrame) -> DataFrame:
-    """Chunk states added up per document, corrected at the borders of chunks."""
+def merged(chunks: DataFrame) -> DataFrame:
+    """Chunk states added up per document; lines cut by borders are put together by their numbers and classed."""
     totals = [*SUMS, *LINES]
-    single = states.filter("parts = 1").select("doc", *totals, *[f"bits{k}" for k in range(4)])
-    order = Window.partitionBy("doc").orderBy("pos")
-    placed = states.filter("parts > 1").withColumn("line", F.coalesce(F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.withColumn("joined", (F.coalesce(F.lag("ends").over(order), F.lit(False)) & F.col("starts")).cast("long"))
-    # a word that a border cuts is put together before it counts as common or marks its bit;
-    # one that doesn't go on in the next chunk is whole as it is
-    goes_on = F.coalesce(F.lead("starts").over(order), F.lit(False))
-    before = F.lag("last_word").over(order)
-    opening = F.when(F.col("joined") == 1, F.concat(before, F.col("first_word"))).otherwise(F.col("first_word"))
-    closing = F.when(~goes_on, F.col("last_word"))
-    placed = placed.withColumn("whole", F.filter(F.array(opening, closing), lambda w: w.isNotNull()))
-    marks = F.transform("whole", lambda w: F.crc32(w.cast("binary")).bitwiseAND(255))
-    placed = placed.withColumn("marks", marks).withColumn("common", F.col("common") + F.size(F.filter("whole", lambda w: w.isin(*sorted(COMMON)))))
-    for k in range(4):
-        mine = F.filter("marks", lambda m: F.shiftright(m, 6) == k)
-        bits = F.aggregate(mine, F.lit(0).cast("long"), lambda a, m: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (m % 64).cast("int"))))
-        placed = placed.withColumn(f"bits{k}", F.col(f"bits{k}").bitwiseOR(bits))
-    counted = placed.groupBy("doc").agg(*[F.sum(c).alias(c) for c in totals], F.sum("joined").alias("joined"), *[F.bit_or(f"bits{k}").alias(f"bits{k}") for k in range(4)])
-
-    pieces = F.explode(F.array(F.struct("line", "joined", F.col("head").alias("p")), F.struct((F.col("line") + F.col("breaks")).alias("line"), F.lit(0).cast("long").alias("joined"), F.col("tail").alias("p")))).alias("x")
-    cut_lines = placed.select("doc", "pos", pieces).select("doc", "pos", "x.line", "x.joined", "x.p.*").filter(F.col("words").isNotNull())
+    single = chunk_states(chunks.filter("parts = 1")).select("doc", *totals, *BITS).dropDuplicates(["doc"])
+    # read more than once below: one small row per chunk of a long document
+    states = cut(chunk_states(chunks.filter("parts > 1")).dropDuplicates(["doc", "pos"]))
+    order = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = states.withColumn("line", F.coalesce(F.sum("breaks").over(order), F.lit(0)))
+    counted = placed.groupBy("doc").agg(*[F.sum(c).alias(c) for c in totals], *[F.bit_or(c).alias(c) for c in BITS])
+
+    pieces = F.explode(F.array(F.struct("line", F.col("head").alias("p")), F.struct((F.col("line") + F.col("breaks")).alias("line"), F.col("tail").alias("p")))).alias("x")
+    cut_lines = placed.select("doc", "pos", pieces).select("doc", "pos", "x.line", "x.p.*").filter(F.col("words").isNotNull())
     whole = cut_lines.groupBy("doc", "line").agg(
-        (F.sum("words") - F.sum("joined")).alias("words"),
-        F.sum("chars").alias("chars"),
-        F.sum("digits").alias("digits"),
-        F.sum("delimiters").alias("delimiters"),
-        F.min_by("marker", "pos").alias("marker"),
-        F.min_by("url", "pos").alias("url"),
-        F.max_by("last", F.when(F.col("last") != "", F.col("pos"))).alias("last"),
+        *[F.sum(c).alias(c) for c in ("words", "black", "digits", "delimiters")],
+        F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("prefix") != "", F.struct("pos", "prefix")))), lambda p: p["prefix"]), ""), 1, PREFIX).alias("prefix"),
+        F.coalesce(F.max_by("last", F.when(F.col("last") != "", F.col("pos"))), F.lit("")).alias("last"),
     )
-    text = F.col("chars") > 0
-    ended = F.coalesce(F.col("last").isin(*SENTENCE_END), F.lit(False))
-    record = F.col("url") | (~ended & (F.col("delimiters") >= 2) & ((F.col("digits") >= 0.15 * F.col("chars")) | (F.col("delimiters") >= 0.5 * F.greatest(F.col("words"), F.lit(1)))))
-    item = ~record & ~ended & (F.col("words") <= F.when(F.col("marker"), 12).otherwise(8))
-    one = lambda c: (text & c).cast("long")
+    ended = F.col("last").isin(*SENTENCE_END)
+    record = F.col("prefix").rlike(URL) | (~ended & (F.col("delimiters") >= 2) & ((F.col("digits") >= 0.15 * F.col("black")) | (F.col("delimiters") >= F.greatest(0.5 * F.col("words"), 0.1 * F.col("black")))))
+    item = ~record & ~ended & (F.col("words") <= F.when(F.col("prefix").rlike(MARKER), 12).otherwise(8))
+    one = lambda c: ((F.col("black") > 0) & c).cast("long")
     classed = whole.groupBy("doc").agg(F.sum(one(F.lit(True))), F.sum(one(ended)), F.sum(one(item)), F.sum(one(item) * F.col("words")), F.sum(one(record)), F.sum(one(record) * F.col("words"))).toDF("doc", *[f"cut_{c}" for c in LINES])
-    large = counted.join(classed, "doc", "left")
-    large = large.select("doc", *[(F.col("words") - F.col("joined")).alias("words") if c == "words" else F.col(c) for c in SUMS], *[(F.col(c) + F.coalesce(f"cut_{c}", F.lit(0))).alias(c) for c in LINES], *[f"bits{k}" for k in range(4)])
+    large = counted.join(classed, "doc", "left").select("doc", *SUMS, *[(F.col(c) + F.coalesce(f"cut_{c}", F.lit(0))).alias(c) for c in LINES], *BITS)
     return single.unionByName(large)
 
 
@@ -200,10 +195,10 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
     distinct words from more), ``label``.
 
     Method: texts are split into chunks of ``chunk`` characters; each chunk gives partial
-    counts that add up, with the state of its borders (a word or a line that goes on);
-    Spark's partial aggregation merges them as a tree, and cut words and lines are put
-    together by their numbers. A document of a gigabyte is many small rows, and the result
-    doesn't depend on ``chunk`` (only a word longer than a whole chunk may change ``word_variety``).
+    counts that add up, corrected by the state of its borders (a word or a line that goes
+    on); Spark's partial aggregation merges them as a tree, and cut lines are put together
+    by their numbers. A document of a gigabyte is many small rows, and the result doesn't
+    depend on ``chunk``.
 
     Defined cases: null, empty and blank texts and those under ``least_chars`` characters
     (blanks around them not counted) are labelled ``none`` and keep their counts (zero for
@@ -213,9 +208,17 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
     docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
     parts = F.greatest(F.ceil(F.length("text") / chunk).cast("int"), F.lit(1))
-    cut = docs.select("doc", "text", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pos"))
-    chunks = cut.select("doc", "pos", "parts", F.substring("text", F.col("pos") * chunk + 1, F.lit(chunk)).alias("chunk"))
-    total = merged(chunk_states(chunks)).dropDuplicates(["doc"])
+    split = docs.select("doc", "text", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("pos"))
+    start = F.col("pos") * chunk
+    chunks = split.select(
+        "doc",
+        "pos",
+        "parts",
+        F.substring("text", start + 1, F.lit(chunk)).alias("chunk"),
+        F.substring("text", F.greatest(start + 1 - BEFORE, F.lit(1)), F.least(start, F.lit(BEFORE))).alias("before"),
+        F.substring("text", start + chunk + 1, F.lit(1)).alias("after"),
+    )
+    total = merged(chunks).withColumn("symbols", F.col("chars") - F.col("word_chars") - F.col("spaces"))
     black = F.col("chars") - F.col("spaces")
     stats = total.select(
         F.col("doc").alias(id_col),
@@ -233,11 +236,10 @@ def text_quality(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK,
         share("item_words", "words").alias("item_word_share"),
         share("record_lines", "lines").alias("record_line_share"),
         share("hashtags", "words").alias("hashtag_share"),
-        share("long_words", black).alias("long_word_share"),
-        share("sentence_marks", "words").alias("sentence_mark_share"),
-        sum((F.bit_count(f"bits{k}") for k in range(4)), F.lit(0)).alias("word_variety"),
+        share("long_chars", black).alias("long_word_share"),
+        sum((F.bit_count(c) for c in BITS), F.lit(0)).alias("word_variety"),
     )
-    return stats.withColumn("label", rules(least_chars)).drop("n_latin", "n_black", "hashtag_share", "long_word_share", "sentence_mark_share")
+    return stats.withColumn("label", rules(least_chars)).drop("n_latin", "n_black", "hashtag_share", "long_word_share")
 
 
 def rules(least_chars: int) -> Column:
@@ -247,7 +249,7 @@ def rules(least_chars: int) -> Column:
         F.when(c("n_chars") < least_chars, "none")
         .when(c("n_black") == 0, "none")
         .when((c("symbol_ratio") > 0.22) & (c("record_line_share") < 0.6), "junk")
-        .when(c("long_word_share") > 0.5, F.when(c("record_line_share") >= 0.6, "table").otherwise("junk"))
+        .when(c("long_word_share") > 0.4, F.when(c("record_line_share") >= 0.6, "table").otherwise("junk"))
         .when((c("n_latin") >= 20) & (c("n_latin") >= 0.6 * c("n_black")) & (c("vowel_ratio") < 0.27), "junk")
         .when(c("hashtag_share") > 0.3, "junk")
         .when((c("n_words") >= 12) & (c("word_variety") <= 14) & (c("word_variety") < 0.4 * c("n_words")) & (c("ended_line_share") < 0.5), "junk")
