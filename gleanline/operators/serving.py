@@ -106,14 +106,22 @@ def oldest(rows: DataFrame, n: int, key: str | None = None) -> DataFrame:
 def count_since(runs: DataFrame, rows: DataFrame, out: str) -> DataFrame:
     """Per run (id, project_id, started_at) the rows of its project created since it started.
 
-    Instead of a range join that pairs every run with every row of a busy project, both go
-    into one ordered stream per project and are counted from the newest backwards.
+    A range join would pair every run with every later row. Instead whole hours after the
+    start are summed from counts per project and hour, which combine before the shuffle, and
+    only the rows of the starting hour are compared one by one.
     """
-    marks = runs.select("project_id", F.col("started_at").alias("at"), F.col("id").alias("run_id"), F.lit(0).cast("long").alias("n"))
-    seen = rows.groupBy("project_id", F.col("created_at").alias("at")).agg(F.count(F.lit(1)).alias("n")).select("project_id", "at", F.lit(None).cast("string").alias("run_id"), "n")
-    after = Window.partitionBy("project_id").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = marks.unionByName(seen).filter(F.col("at").isNotNull()).withColumn(out, F.sum("n").over(after))
-    return both.filter(F.col("run_id").isNotNull()).select(F.col("run_id").alias("id"), "project_id", out)
+    hour = lambda c: F.date_trunc("hour", c)
+    marks = runs.filter(F.col("started_at").isNotNull()).select("id", "project_id", "started_at", hour("started_at").alias("hour"))
+    dated = rows.filter(F.col("created_at").isNotNull()).select("project_id", "created_at", hour("created_at").alias("hour"))
+    hourly = dated.groupBy("project_id", "hour").agg(F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy("project_id").orderBy(F.col("hour").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = hourly.select("project_id", "hour", "n", F.lit(None).cast("string").alias("id")).unionByName(marks.select("project_id", "hour", F.lit(0).cast("long").alias("n"), "id"))
+    # the sum up to the start's own hour, less that hour
+    own = hourly.select("project_id", "hour", F.col("n").alias("own"))
+    whole = both.withColumn("sum", F.sum("n").over(later)).filter(F.col("id").isNotNull()).join(own, ["project_id", "hour"], "left")
+    part = marks.join(dated, ["project_id", "hour"]).filter(F.col("created_at") >= F.col("started_at")).groupBy("id").agg(F.count(F.lit(1)).alias("part"))
+    total = F.col("sum") - F.coalesce("own", F.lit(0)) + F.coalesce("part", F.lit(0))
+    return whole.join(part, "id", "left").select("id", "project_id", total.alias(out))
 
 
 def stale(status: Column, started: Column, now: Column, minutes: int = 15) -> Column:

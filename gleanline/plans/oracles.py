@@ -126,4 +126,8 @@ ORACLES = {
         SELECT id, 'https://' || host || '/' AS url, array_to_string(list_transform(list_filter(string_split_regex(string_split(regexp_replace(host, '^www\.', ''), '.')[1], '[-_]+'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), ' ') AS name, regexp_matches(trim(website_url), '(?i)^(https?://)?([a-z0-9-]+\.)+[a-z]{2,}(/\S*)?$') AS looks_fine, 'https://icons.example/?domain=' || host AS icon FROM h""",
     "page_extract": r"""SELECT id, trim(name) AS title, trim(regexp_replace(coalesce(description, ''), '\s+', ' ', 'g')) AS meta_description, trim(name) AS headings, trim(regexp_replace(name || ' ' || array_to_string(keywords, chr(10)), '\s+', ' ', 'g')) AS body_text FROM projects""",
     "matched_terms_json": "SELECT CAST(sum(len(matched_terms.keywords)) AS BIGINT) AS keywords, CAST(sum(len(matched_terms.intent_phrases)) AS BIGINT) AS intent_phrases, CAST(sum(len(matched_terms.pain_phrases)) AS BIGINT) AS pain_phrases, CAST(sum(len(matched_terms.competitors)) AS BIGINT) AS competitors FROM gemini_qualification_queue",
+    "score_missing": "SELECT id, CAST(coalesce(ai_score, length(coalesce(content, '')) % 11) AS BIGINT) AS ai_score FROM reddit_leads",
+    "project_prompts": """SELECT id, array_to_string(list_filter([CASE WHEN coalesce(website_url, '') <> '' THEN 'Website URL: ' || website_url END, CASE WHEN coalesce(name, '') <> '' THEN 'Page title: ' || name END, CASE WHEN coalesce(description, '') <> '' THEN 'Meta description: ' || description END,
+        'Keywords: ' || CASE WHEN coalesce(len(keywords), 0) > 0 THEN array_to_string(keywords, ', ') ELSE '(none provided)' END, 'Competitors: ' || CASE WHEN coalesce(len(competitors), 0) > 0 THEN array_to_string(competitors, ', ') ELSE '(none provided)' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS prompt FROM projects""",
+    "stream_intake": "SELECT project_id, count(DISTINCT id) AS items FROM gemini_qualification_queue GROUP BY project_id",
 }

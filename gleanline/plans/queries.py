@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, text
-from ..operators import matching, rules, scan, serving, tables, terms
+from ..operators import matching, plugins, rules, scan, serving, tables, terms
 from ..sources.pages import page_content
 from ..sources.tables import read
+from ..session import shared_folder
+from ..streaming import intake
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -306,6 +308,31 @@ def matched_terms_json(spark, d):
     return back.agg(size("keywords"), size("intent_phrases"), size("pain_phrases"), size("competitors"))
 
 
+def score_missing(spark, d):
+    """Leads without a score get one from a stand-in scorer that sees the content only; others keep theirs."""
+    leads = read(spark, d, "reddit_leads", ["id", "content", "ai_score"])
+    scored = plugins.score_missing(leads, "ai_score", ["content"], lambda x: x["content"].fillna("").str.len() % 11, plugins.in_range(0, 10))
+    return scored.select("id", F.col("ai_score").cast("long").alias("ai_score"))
+
+
+def project_prompts(spark, d):
+    """The text a page analysis would be asked with, made of the parts that are there."""
+    p = read(spark, d, "projects", ["id", "website_url", "name", "description", "keywords", "competitors"])
+    part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    parts = [part("Website URL: ", F.col("website_url")), part("Page title: ", F.col("name")), part("Meta description: ", F.col("description")), F.concat(F.lit("Keywords: "), display.list_text(F.col("keywords"))), F.concat(F.lit("Competitors: "), display.list_text(F.col("competitors")))]
+    return p.select("id", plugins.prompt(parts).alias("prompt"))
+
+
+def stream_intake(spark, d):
+    """The queue read as a stream: first delivery of every id, counted per project."""
+    path = shared_folder(spark, "stream-intake")
+    kind = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "created_at"]).schema
+    stream = spark.readStream.schema(kind).parquet(f"{d}/gemini_qualification_queue.parquet*").withColumn("at", F.col("created_at").cast("timestamp"))
+    once = intake.first_deliveries(stream, ["id"], "at", "365 days")
+    intake.drain_to(once, lambda batch, n: batch.select("id", "project_id").write.mode("overwrite").parquet(f"{path}/batch={n}"), f"{path}-state").awaitTermination()
+    return spark.read.schema("id string, project_id string").parquet(f"{path}/batch=*").groupBy("project_id").agg(F.count(F.lit(1)).alias("items"))
+
+
 QUERIES = {
     "qualified_candidates": qualified_candidates,
     "normalize_text": normalize_text,
@@ -354,4 +381,7 @@ QUERIES = {
     "project_urls": project_urls,
     "page_extract": page_extract,
     "matched_terms_json": matched_terms_json,
+    "score_missing": score_missing,
+    "project_prompts": project_prompts,
+    "stream_intake": stream_intake,
 }
