@@ -15,6 +15,8 @@ from .neardup import COMMON_LEAST, COMMON_SHARE
 from .sketch import common_words, fast_similarity_sketch, jaccard, lists, mix, without_common, word_sets
 
 TREES, LEVELS, BITS = 48, 8, 8
+#: More runs than this are merged when the next one is accepted.
+RUN_LIMIT = 32
 #: When history was accepted: before every date.
 HISTORY = -(2**62)
 
@@ -66,6 +68,8 @@ class HashForest:
 
     def accept(self, sets: DataFrame) -> str:
         """Append distinct sets (doc, words, first) as a run and give its name."""
+        if len(self.runs) >= RUN_LIMIT:
+            self.merge_runs()
         run = f"{self.path}/{len(self.runs)}-{uuid.uuid4().hex[:8]}"
         sets.select("doc", "words", "first").write.option("compression", "zstd").parquet(f"{run}/sets")
         stored = self.spark.read.parquet(f"{run}/sets")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanline.llm import sketch
-from gleanline.llm.forest import already_accepted, search_depth
+from gleanline.llm.forest import HashForest, already_accepted, search_depth
 from gleanline.llm.lookalike import canonical_form, look_alike_pairs, look_form, normalise_text
 from gleanline.llm.neardup import near_duplicates, pairs
 
@@ -118,3 +118,21 @@ def test_normal_form_column(spark):
     df = spark.createDataFrame([(1, "Straße"), (2, None), (3, "  "), (4, "ABC\tx"), (5, "ä" * 100_000)], "id int, t string")
     got = {r["id"]: r["n"] for r in normalise_text(df, "t", "n").collect()}
     assert got[1] == "strasse" and got[2] is None and got[3] == "" and got[4] == "abc x" and len(got[5]) == 100_000
+
+
+def test_a_forest_grows_batch_by_batch(spark, tmp_path):
+    rows = near_copies(9, families=12)
+    df = spark.createDataFrame(rows, "tbl string, id string, text string")
+    sets = sketch.word_sets(df, 24, apart=False).filter("words is not null").select("id", "doc", "words")
+    sets = spark.createDataFrame(sets.collect(), sets.schema).dropDuplicates(["doc"])
+    forest, hits = HashForest(spark, str(tmp_path / "forest")), {}
+    for day in range(3):
+        mine = sets.filter(F.pmod("doc", F.lit(3)) == day).select("doc", "words", F.lit(day).cast("long").alias("first"))
+        run = forest.accept(mine)
+        hits |= {r["doc"]: r["near"] for r in forest.similar(run, 0.6, 0.95).collect()}
+        if day == 1:
+            assert forest.merge_runs() == forest.runs[0] and len(forest.runs) == 1
+    known = {r["doc"]: (r["doc"] % 3, set(r["words"])) for r in sets.collect()}
+    close = lambda a, b: len(a & b) / len(a | b) >= 0.6
+    want = {d: min(days) for d, (day, w) in known.items() if (days := [o for e, (o, v) in known.items() if e != d and o <= day and close(w, v)])}
+    assert hits.keys() <= want.keys() and all(hits[d] == want[d] for d in hits) and len(hits) >= 0.95 * len(want)
