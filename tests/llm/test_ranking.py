@@ -70,6 +70,14 @@ def test_over_cap_keeps_the_best(spark):
     assert over_cap(df.limit(0), ["scope"], "who", ORDER, "id", max_count=4, max_share=0.5).count() == 0
 
 
+def test_columns_named_like_inner_ones(spark):
+    rows = [("c", "x", str(i), i % 3, 1) for i in range(9)] + [("c", "y", "z", 1, 1)]
+    df = spark.createDataFrame(rows, "n string, level string, c string, m int, kept int")
+    assert over_cap(df, ["n"], "level", [("m", "desc"), ("kept", "asc")], "c", max_count=2, heavy_rows=3).count() == 7
+    assert capped(df, ["n"], "level", [("m", "desc")], "c", max_share=0.5).count() == 2
+    assert top_n_per_group(df, ["n"], [("m", "desc")], "c", 3, heavy_rows=2, rank_col="place").columns == ["n", "c", "place"]
+
+
 def test_keys(spark):
     rows = [(" /u/Bob ", "r/SaaS", "post", "T3_AbC "), ("BOB", " saas", "post", "https://forum.example/comments/abc/"), ("[deleted]", "", "post", "abc"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "a string, s string, t string, i string")
