@@ -72,6 +72,16 @@ def test_disguised_abuse(spark):
     assert {r["s"]: (r["rows"], r["flagged"]) for r in abuse.rates(scores, "s").collect()} == {"a": (2, 1), None: (1, 0)}
 
 
+@pytest.mark.parametrize("unit", ["a", "A", "Word ", "a.b.", "1-", "x@", "a b c d ", "a*", "Mr. Anna Marie ", "+44 7700 900123 ", "you idiot ", "x\n", "🤷‍♀️", ". ", "a\u200d"])
+def test_long_runs_are_read_in_time(model, unit):
+    import time
+
+    m, text = abuse.Model(LABELLED), unit * (40_000 // len(unit))
+    began = time.time()
+    model.spans(text), m.score(text)
+    assert time.time() - began < 20
+
+
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/byte_bpe_50k.json"), reason="no vocabulary files here")
 
 
