@@ -24,9 +24,13 @@ def now():
 
 
 def queue_items(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct queue items with their text: project_id, item_id, text."""
+    """Queue items with their text: project_id, item_id, text.
+
+    Repeated deliveries stay in: results are narrow and drop them later, while dropping them
+    here would shuffle all texts.
+    """
     q = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "item_type", "title", "body"])
-    return q.dropDuplicates(["id"]).select("project_id", F.col("id").alias("item_id"), matching.item_text(F.col("item_type"), F.col("title"), F.col("body")).alias("text"))
+    return q.select("project_id", F.col("id").alias("item_id"), matching.item_text(F.col("item_type"), F.col("title"), F.col("body")).alias("text"))
 
 
 def normalized_items(spark: SparkSession, d: str) -> DataFrame:
@@ -34,12 +38,12 @@ def normalized_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(spark, d):
-    return normalized_items(spark, d).select("item_id", "normalized")
+    return normalized_items(spark, d).select("item_id", "normalized").dropDuplicates(["item_id"])
 
 
 def tokenize_counts(spark, d):
     t = text.tokens(F.col("normalized"))
-    return normalized_items(spark, d).select("item_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return normalized_items(spark, d).select("item_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct")).distinct()
 
 
 def _plain_terms(spark, d):
