@@ -48,12 +48,18 @@ def first_per(items: DataFrame, keys: list[str], order: list[Column], n: int = 1
 def search(posts: DataFrame, grid: DataFrame, phrase: str = "term", limit: int = POSTS_PER_QUERY) -> DataFrame:
     """The newest posts per community and term that contain the term (case ignored), at most ``limit`` (1 to 100).
 
-    An equi-join by community; the text test is its residual condition.
+    The rows of ``grid`` with the id and time of each post. Projects that look for the same
+    term in the same community get the same posts, so every distinct (community, term) is
+    searched once, by an equi-join with the text test as its residual condition, and only
+    its few newest posts are given to the projects.
     """
     limit = min(max(limit, 1), 100)
-    text = F.lower(F.concat_ws(" ", "title", "body"))
-    hits = posts.withColumn("__text", text).join(grid, "subreddit").filter(F.contains("__text", F.lower(F.col(phrase)))).drop("__text")
-    return first_per(hits, ["project_id", "subreddit", phrase], [F.col("created_at").desc(), F.col("id")], limit)
+    low = F.lower(F.col(phrase)).alias("__low")
+    wanted = grid.select("subreddit", low).distinct()
+    texts = posts.select("subreddit", "id", "created_at", F.lower(F.concat_ws(" ", "title", "body")).alias("__text"))
+    hits = texts.join(wanted, "subreddit").filter(F.contains("__text", F.col("__low"))).select("subreddit", "__low", "id", "created_at")
+    newest = first_per(hits, ["subreddit", "__low"], [F.col("created_at").desc(), F.col("id")], limit)
+    return grid.withColumn("__low", low).join(newest, ["subreddit", "__low"]).drop("__low")
 
 
 def kept_posts(found: DataFrame, arrival: list[Column], limit: int = POSTS_PER_COMMUNITY, scope: list[str] | None = None) -> DataFrame:
