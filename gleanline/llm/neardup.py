@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .sketch import common_words, fast_similarity_sketch, jaccard, lists, mix, without_common, word_sets
+from .sketch import can_be_similar, fast_similarity_sketch, jaccard, lists, mix, parities, word_sets
 
-BANDS, ROWS = 48, 6
+#: A pair of similarity 0.60 shares a band with 0.95, of 0.65 with 0.995, of 0.70 with 0.9999.
+BANDS, ROWS = 107, 7
 COMMON_SHARE, COMMON_LEAST = 0.2, 1000
 
 
-def band_rows(sets: DataFrame, bands: int, rows: int, common: dict[int, int]) -> DataFrame:
+def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, doc) of every band of every distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,7 +27,7 @@ def band_rows(sets: DataFrame, bands: int, rows: int, common: dict[int, int]) ->
                 part = batch.slice(start, 2048)
                 doc = part.column(0).to_numpy()
                 salt = np.array([xxhash.xxh32_intdigest(t) for t in part.column(1).to_pylist()], np.uint64)
-                sketch = fast_similarity_sketch(*without_common(*lists(part.column(2)), common), bands * rows).reshape(len(doc), bands, rows)
+                sketch = fast_similarity_sketch(*lists(part.column(2)), bands * rows).reshape(len(doc), bands, rows)
                 bucket = mix(np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(1000) + salt[:, None])
                 for k in range(rows):
                     bucket = mix(bucket ^ sketch[:, :, k])
@@ -88,9 +89,9 @@ def similar_sets(sets: DataFrame, threshold: float, bands: int = BANDS, rows: in
 
     ``sets`` (tbl, doc, words) may repeat a set a few times.
     """
-    common = common_words(sets, COMMON_SHARE, COMMON_LEAST)
-    candidates = bucket_pairs(band_rows(sets, bands, rows, common)).distinct()
     known = sets.select("doc", "words").dropDuplicates(["doc"])
+    cells = parities(known)
+    candidates = can_be_similar(bucket_pairs(band_rows(sets, bands, rows)).distinct(), "a", "b", cells, cells, threshold)
     left = known.select(F.col("doc").alias("a"), F.col("words").alias("words_a"))
     right = known.select(F.col("doc").alias("b"), F.col("words").alias("words_b"))
     both = candidates.join(left, "a").join(right, "b")
@@ -105,10 +106,9 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.8, min_words: int = 1
     ``shingle`` words (1: single words). Nobody needs all pairs of a large group of copies
     to know it; ``pairs`` expands them where rows are wanted.
 
-    Method: fast similarity sketching of each distinct set, banding, exact verification. So
-    that texts don't meet over words that all texts have, words in more than a fifth of the
-    sets stay out of the sketch (at most half of a set, the commonest first, and never words
-    in 1,000 sets or fewer); the verification uses all words.
+    Method: fast similarity sketching of each distinct set, banding, exact verification. The
+    whole sets are signed, whatever share of all sets has a word; texts that meet only over
+    words that all texts have go by an exact bound before their words are compared.
 
     Defined cases: null texts and texts of fewer than ``min_words`` elements are in no class;
     very long texts are taken whole; rows repeated with one id are one member; an empty

@@ -62,6 +62,30 @@ def test_near_duplicates_by_shingles_and_of_nothing(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def template_members(prefix, n, members):
+    """``n`` texts of 48 words, of which the first ``members`` share 40."""
+    own = lambda i, k: " ".join(f"{prefix}{i}x{j}" for j in range(k))
+    form = " ".join(f"form{j}" for j in range(40))
+    return [(f"{prefix}{i}", f"{form} {own(i, 8)}" if i < members else own(i, 48)) for i in range(n)]
+
+
+def test_a_template_that_fills_a_third_of_the_sets(spark):
+    df = spark.createDataFrame(template_members("a", 5100, 1700), "id string, text string").withColumn("tbl", F.lit("t"))
+    _, links = near_duplicates(df, threshold=0.6, min_words=24, shingle=1)
+    assert links.count() >= 0.99 * 1700 * 1699 / 2  # each two members have a similarity of 40 / 56
+
+
+def test_parities_drop_no_similar_pair(spark):
+    rows = near_copies(4)
+    df = spark.createDataFrame(rows, "tbl string, id string, text string")
+    sets = sketch.word_sets(df, 1).filter("words is not null").select("doc", "words").dropDuplicates(["doc"])
+    cells, words = sketch.parities(sets), {r["doc"]: set(r["words"]) for r in sets.collect()}
+    every = spark.createDataFrame([(a, b) for a in words for b in words if a < b], "a long, b long")
+    kept = {tuple(r) for r in sketch.can_be_similar(every, "a", "b", cells, cells, 0.6).collect()}
+    close = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.6 * len(words[a] | words[b])}
+    assert close <= kept and close and len(kept) < 0.2 * every.count()
+
+
 def test_common_words_leave_half_of_a_set():
     values, offsets = np.array([1, 2, 3, 4, 1, 2, 9], np.int32), np.array([0, 4, 7])
     left, at = sketch.without_common(values, offsets, {1: 50, 2: 90, 3: 20})
