@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_path
-from .neardup import COMMON_LEAST, COMMON_SHARE
-from .sketch import common_words, fast_similarity_sketch, jaccard, lists, mix, without_common, word_sets
+from .sketch import can_be_similar, fast_similarity_sketch, jaccard, lists, mix, parities, word_sets
 
 TREES, LEVELS, BITS = 48, 8, 8
+#: Trees of whole histories: at 0.60 and a recall of 0.95 they allow a prefix of 6 levels (48 trees: 5), which fewer unrelated sets share.
+HISTORY_TREES = 80
 #: More runs than this are merged when the next one is accepted.
 RUN_LIMIT = 32
 #: When history was accepted: before every date.
@@ -33,7 +34,7 @@ def search_depth(similarity: float, recall: float, trees: int = TREES, levels: i
     raise ValueError("no prefix reaches this recall; plant more trees")
 
 
-def tree_keys(sets: DataFrame, common: dict[int, int], trees: int = TREES, levels: int = LEVELS) -> DataFrame:
+def tree_keys(sets: DataFrame, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
     """(tree, key, doc) of each set (doc, words): ``levels`` sketch coordinates of 8 bits, the first one highest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,7 @@ def tree_keys(sets: DataFrame, common: dict[int, int], trees: int = TREES, level
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 doc = part.column(0).to_numpy()
-                sketch = mix(fast_similarity_sketch(*without_common(*lists(part.column(1)), common), trees * levels)).reshape(len(doc), trees, levels)
+                sketch = mix(fast_similarity_sketch(*lists(part.column(1)), trees * levels)).reshape(len(doc), trees, levels)
                 key = np.zeros((len(doc), trees), np.uint64)
                 for level in range(levels):
                     key = (key << np.uint64(BITS)) | (sketch[:, :, level] & np.uint64(0xFF))
@@ -58,12 +59,11 @@ class HashForest:
     ``keys`` (tree, key, doc), both as runs, one per accepted batch. The keys of a run are
     sorted by tree and key, so that a prefix is a range of them. A run is signed and written
     once and only read for later batches; ``merge_runs`` rewrites many runs as one.
-    Words common in the first accepted run stay out of all signatures of the forest.
+    Whole sets are signed, so that the recall of a prefix holds whatever words many sets share.
     """
 
     def __init__(self, spark: SparkSession, path: str, trees: int = TREES, levels: int = LEVELS):
         self.spark, self.path, self.trees, self.levels = spark, path, trees, levels
-        self.common: dict[int, int] = {}
         self.runs: list[str] = []
 
     def accept(self, sets: DataFrame) -> str:
@@ -73,10 +73,8 @@ class HashForest:
         run = f"{self.path}/{len(self.runs)}-{uuid.uuid4().hex[:8]}"
         sets.select("doc", "words", "first").write.option("compression", "zstd").parquet(f"{run}/sets")
         stored = self.spark.read.parquet(f"{run}/sets")
-        if not self.runs:
-            self.common = common_words(stored, COMMON_SHARE, COMMON_LEAST)
         # each task writes a sorted piece of its own: appending needs no shuffle
-        tree_keys(stored, self.common, self.trees, self.levels).sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(f"{run}/keys")
+        tree_keys(stored, self.trees, self.levels).sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(f"{run}/keys")
         self.runs.append(run)
         return run
 
@@ -98,7 +96,7 @@ class HashForest:
         """For the sets of ``run`` the time at which the earliest other similar set was accepted: ``doc``, ``near``.
 
         Candidates are the entries in the key range that a set's prefix spans in some tree;
-        the exact similarity of every candidate is then worked out.
+        those that an exact bound leaves are compared word by word.
         """
         shift = 64 - BITS * search_depth(threshold, recall, self.trees, self.levels)
         prefix = F.shiftright("key", shift).alias("prefix")
@@ -106,6 +104,8 @@ class HashForest:
         entries = self.keys(self.runs).select("tree", prefix, F.col("doc").alias("entry"))
         candidates = asked.join(entries, ["tree", "prefix"]).filter("doc <> entry").select("doc", "entry").distinct()
         known = self.sets([run]).select("doc", "words")
+        everything = self.sets(self.runs).select("doc", "words").dropDuplicates(["doc"])
+        candidates = can_be_similar(candidates, "doc", "entry", parities(known), parities(everything), threshold)
         accepted = self.sets(self.runs).select(F.col("doc").alias("entry"), F.col("words").alias("entry_words"), "first")
         both = candidates.join(known, "doc").join(accepted, "entry")
         return both.filter(jaccard(F.col("words"), F.col("entry_words")) >= threshold).groupBy("doc").agg(F.min("first").alias("near"))
@@ -148,7 +148,7 @@ def already_accepted(history: DataFrame, batches: DataFrame, threshold: float =
     def distinct(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc").agg(F.first("words", ignorenulls=True).alias("words"), F.min("first").alias("first"))
 
-    forest = HashForest(spark, f"{path}/runs")
+    forest = HashForest(spark, f"{path}/runs", HISTORY_TREES)
     forest.accept(distinct(signed(old, "history")))
     asked = signed(new, "batches")
     run = forest.accept(distinct(asked))

@@ -15,7 +15,6 @@ from .sketch import can_be_similar, fast_similarity_sketch, jaccard, lists, mix,
 
 #: A pair of similarity 0.60 shares a band with 0.95, of 0.65 with 0.995, of 0.70 with 0.9999.
 BANDS, ROWS = 107, 7
-COMMON_SHARE, COMMON_LEAST = 0.2, 1000
 
 
 def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:

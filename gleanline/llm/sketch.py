@@ -109,17 +109,6 @@ def fast_similarity_sketch(values: np.ndarray, offsets: np.ndarray, bins: int) -
     return sketch
 
 
-def common_words(sets: DataFrame, share: float, least: int) -> dict[int, int]:
-    """Word codes in more than ``share`` of all sets given, with their exact set counts.
-
-    There are at most (mean set size / share) such words, which bounds what reaches the
-    driver. Words in no more than ``least`` sets never count as common.
-    """
-    total = sets.count()
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return {r["w"]: r["n"] for r in counts.filter(F.col("n") > max(share * total, least)).collect()}
-
-
 def parities(sets: DataFrame) -> DataFrame:
     """(doc, size, p0, p1, p2, p3) of sets (doc, words): their size and the parity of their words in each of 256 hashed cells."""
 
@@ -154,7 +143,7 @@ def without_common(values: np.ndarray, offsets: np.ndarray, common: dict[int, in
     """The sets without their common words, of which each set drops at most half its size, the commonest first.
 
     This lowers the similarity of sets that share their common words (0.60 to 0.33 at
-    worst), so near-duplicates are searched for without it.
+    worst), so the searches for similar sets don't use it.
     """
     if not common or not len(values):
         return values, offsets

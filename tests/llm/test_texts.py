@@ -75,6 +75,14 @@ def test_a_template_that_fills_a_third_of_the_sets(spark):
     assert links.count() >= 0.99 * 1700 * 1699 / 2  # each two members have a similarity of 40 / 56
 
 
+def test_a_template_that_fills_a_third_of_the_history(spark):
+    history = spark.createDataFrame([(f"h{k}", t) for k, t in template_members("a", 3300, 1100)], "id string, text string").withColumn("item", F.lit(None).cast("string"))
+    # each pending text is near one member only, of which it has the 8 own words and 32 of the form's
+    new = [(f"q{i}", " ".join([f"form{(i + j) % 40}" for j in range(32)] + [f"a{i}x{j}" for j in range(8)] + [f"q{i}x{j}" for j in range(12)])) for i in range(200)]
+    batches = spark.createDataFrame(new, "id string, text string").select("id", F.lit(None).cast("string").alias("item"), "text", F.to_date(F.lit("2026-01-01")).alias("batch"))
+    assert already_accepted(history, batches, threshold=0.6, min_words=24, shingle=1).count() >= 0.95 * 200
+
+
 def test_parities_drop_no_similar_pair(spark):
     rows = near_copies(4)
     df = spark.createDataFrame(rows, "tbl string, id string, text string")
