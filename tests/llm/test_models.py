@@ -72,6 +72,13 @@ def test_disguised_abuse(spark):
     assert {r["s"]: (r["rows"], r["flagged"]) for r in abuse.rates(scores, "s").collect()} == {"a": (2, 1), None: (1, 0)}
 
 
+def test_sentences_without_a_listed_word_are_scored():
+    m = abuse.Model(LABELLED + [("go away you zorgle", "abusive"), ("they are all zorgle", "abusive"), ("I hope someone will kill you", "abusive"), ("watch your back because I know your street", "abusive")] * 60)
+    for text in ("go away zorgle", "The import was slow. Go away zorgle", "I will hurt you", "I will find where you live", "they will beat you"):
+        assert m.score(text)[0] < 0.5, text
+    assert m.score("the import was slow, thanks a lot")[0] > 0.5 and m.score("qwxv")[0] == 1.0
+
+
 @pytest.mark.parametrize("unit", ["a", "A", "Word ", "a.b.", "1-", "x@", "a b c d ", "a*", "Mr. Anna Marie ", "+44 7700 900123 ", "you idiot ", "x\n", "🤷‍♀️", ". ", "a\u200d"])
 def test_long_runs_are_read_in_time(model, unit):
     import time
