@@ -79,6 +79,14 @@ def test_sentences_without_a_listed_word_are_scored():
     assert m.score("the import was slow, thanks a lot")[0] > 0.5 and m.score("qwxv")[0] == 1.0
 
 
+@pytest.mark.parametrize("text", ["you are a sc" + "u" * 80 + "mbag", " ".join("you are such a worthless lying little clown and a moron".replace(" ", "")), "you " + "i_d_i_o_t_" * 12 + "i_d_i_o_t"])
+def test_long_disguises_are_decoded_whole(text):
+    m = abuse.Model(LABELLED)
+    words = m.reader.restore(text)
+    assert words[-1] in abuse.INSULTS, words
+    assert m.score(f"You, {text}")[0] < 0.5
+
+
 @pytest.mark.parametrize("unit", ["a", "A", "Word ", "a.b.", "1-", "x@", "a b c d ", "a*", "Mr. Anna Marie ", "+44 7700 900123 ", "you idiot ", "x\n", "🤷‍♀️", ". ", "a\u200d"])
 def test_long_runs_are_read_in_time(model, unit):
     import time
