@@ -133,8 +133,8 @@ class Model:
 
     Node weights are a multinomial regression over hashed features, chain potentials the
     smoothed log-ratios of neighbouring labels, both from generated, labelled sentences. In
-    a document equal rare words (a surname, a number) are joined by skip edges, and loopy
-    message passing lets a clear mention decide about an unclear one.
+    a document equal rare words (a surname, a number) are joined in a hub, and loopy
+    message passing lets a clear mention decide about all unclear ones, near or far.
     """
 
     def __init__(self, seed: int = 7, sentences: int = 9000, epochs: int = 6):
@@ -194,33 +194,35 @@ class Model:
             for i, t in enumerate(tokens):
                 if t.kind in ("number", "code", "email") or is_name_like(t) and len(t.text) > 2:
                     where.setdefault(t.low, []).append((s, i))
-        # a chain of skip edges through the mentions of a word keeps their number linear
-        edges = [(a, b) for places in where.values() if len(places) > 1 for a, b in zip(places, places[1:])]
-        if not edges:
+        # the mentions of a word meet in one hub, which keeps the edges linear and any two mentions two edges apart
+        groups = [places for places in where.values() if len(places) > 1]
+        if not groups:
             return [self.viterbi(n) for n in node]
-        messages = {(e, way): np.zeros(K) for e in range(len(edges)) for way in (0, 1)}
-        for _ in range(MESSAGE_ROUNDS):
+        from_hub = [np.zeros((len(places), K)) for places in groups]
+
+        def beliefs() -> list[np.ndarray]:
             belief = [n.copy() for n in node]
-            for e, (a, b) in enumerate(edges):
-                belief[b[0]][b[1]] += messages[e, 0]
-                belief[a[0]][a[1]] += messages[e, 1]
-            marginal = [self.max_marginals(n) for n in belief]
+            for places, messages in zip(groups, from_hub):
+                for (s, i), message in zip(places, messages):
+                    belief[s][i] += message
+            return belief
+
+        for _ in range(MESSAGE_ROUNDS):
+            marginal = [self.max_marginals(n) for n in beliefs()]
             change = 0.0
-            for e, (a, b) in enumerate(edges):
-                for way, (src, back) in enumerate(((a, messages[e, 1]), (b, messages[e, 0]))):
-                    out = (marginal[src[0]][src[1]] - back)[:, None] + self.skip
-                    out = out.max(0)
-                    out -= out.max()
-                    new = 0.5 * messages[e, way] + 0.5 * out
-                    change = max(change, float(np.abs(new - messages[e, way]).max()))
-                    messages[e, way] = new
+            for g, places in enumerate(groups):
+                own = np.array([marginal[s][i] for s, i in places]) - from_hub[g]
+                to_hub = passed(own, self.skip)
+                # a mention hears the clearest other one, so that many unclear ones don't add up
+                clear = np.argsort(to_hub[:, 0] - to_hub[:, 1:].max(1), kind="stable")
+                others = np.repeat(to_hub[clear[:1]], len(places), axis=0)
+                others[clear[0]] = to_hub[clear[1]]
+                new = 0.5 * from_hub[g] + 0.5 * others
+                change = max(change, float(np.abs(new - from_hub[g]).max()))
+                from_hub[g] = new
             if change < 1e-3:
                 break
-        belief = [n.copy() for n in node]
-        for e, (a, b) in enumerate(edges):
-            belief[b[0]][b[1]] += messages[e, 0]
-            belief[a[0]][a[1]] += messages[e, 1]
-        return [self.viterbi(n) for n in belief]
+        return [self.viterbi(n) for n in beliefs()]
 
     def viterbi(self, node: np.ndarray) -> np.ndarray:
         n = len(node)
@@ -297,6 +299,12 @@ class Model:
         return sorted(out)
 
 
+def passed(scores: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Max-product messages of rows of label scores over an edge, the best label at 0."""
+    out = (scores[:, :, None] + edge).max(1)
+    return out - out.max(1, keepdims=True)
+
+
 def evident(sentence: str) -> bool:
     """Whether a sentence holds anything that can be personal information by itself."""
     return bool(MORE_EVIDENCE.search(sentence)) or not FIRST_NAMES.isdisjoint(re.findall(r"[^\W\d_]+", sentence.lower())) or bool(INITIAL_NAME.search(sentence)) or bool(TITLED.search(sentence)) or bool(ADDRESS.search(sentence)) or any(not (PRODUCT.search(a.lower()) or PRODUCT.search(b.lower())) for a, b in CAPITAL_PAIR.findall(sentence))

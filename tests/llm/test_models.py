@@ -49,6 +49,11 @@ def test_a_clear_mention_decides_about_an_unclear_one(model):
     assert [text[a:b] for a, b, k in model.spans(text) if k == "name"][-1].startswith("Gorvindale")
 
 
+def test_a_clear_mention_decides_about_distant_ones(model):
+    text = "I met Mr. Gorvindale today.\n" + "Gorvindale signed the contract.\n" * 40
+    assert sum("Gorvindale" in text[a:b] for a, b, k in model.spans(text) if k == "name") == 41
+
+
 def test_placeholders(spark, model):
     rows = [(1, "Mail ｊｏｅ＠mail.example now"), (2, None), (3, ""), (4, "nothing here"), (5, "x " * 50_000 + "call +44 7700 900123")]
     df = spark.createDataFrame(rows, "id int, t string").withColumn("redacted", F.lit("clash"))
