@@ -75,6 +75,7 @@ def scan_stage(status: Column, rows_since: Column) -> Column:
     return F.when(status.isNull(), "not_started").when(status == "success", "completed").when(status == "failed", "failed").when(rows_since > 0, "scoring").otherwise("scanning")
 
 
+# What a user reads about each stage, and the path of a project's page.
 def stage_text(stage: Column) -> Column:
     return F.when(stage == "scoring", "Scoring leads").when(stage == "completed", "Scan complete").when(stage == "failed", "Scan failed").otherwise("Finding your leads")
 
@@ -94,5 +95,10 @@ def absolute_link(permalink: Column, base: str) -> Column:
     return F.when(link == "", "").when(link.startswith("http"), link).otherwise(F.concat(F.lit(base), link))
 
 
+def lead_marks(status: Column) -> Column:
+    """The mark a lead shows beside its status: New, Contacted or none."""
+    return F.when(status == "new", "New").when(status == "contacted", "Contacted")
+
+
 def bare_post_id(full_name: Column) -> Column:
     return F.regexp_replace(full_name, "^t3_", "")

@@ -54,3 +54,9 @@ def prompt(parts: list[Column], separator: str = "\n\n") -> Column:
     """Non-empty parts joined; nulls and empty strings are left out."""
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))
     return F.array_join(kept, separator)
+
+
+def lines(parts: list[Column | str]) -> Column:
+    """A template line by line; a null part shows as ``null``, an empty one as an empty line."""
+    shown = [F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("null")) for p in parts]
+    return F.concat_ws("\n", *shown)

@@ -17,17 +17,25 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases])
 
 
+# What a user reads about the rules of a community.
+NO_RULES, NO_MENTION = "This subreddit has no posted rules.", "This subreddit's rules do not mention promotion, self-promotion, or advertising."
+DECIDED = ["explicitly bans promotion", "allows promotion only under certain conditions", "mentions promotion"]
+
+
 def rule_findings(rules: DataFrame) -> DataFrame:
-    """Per community the badge and the first rule (by ordinal) that decides it."""
+    """Per community the badge, the first rule (by ordinal) that decides it and what is said about it."""
     text = F.lower(F.concat(F.coalesce("short_name", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
     kind = F.when(~contains_any(text, PROMOTION), 9).when(contains_any(text, BANNED), 0).when(contains_any(text, CONDITIONAL), 1).otherwise(2)
-    marked = rules.select("subreddit", F.struct(kind.alias("kind"), "ordinal", "short_name").alias("r"))
+    marked = rules.select("subreddit", F.struct(kind.alias("kind"), "ordinal", "short_name", "description").alias("r"))
     first = marked.groupBy("subreddit").agg(F.min("r").alias("r"))
     badge = F.when(F.col("r.kind") == 9, "without_rules").when(F.col("r.kind") == 0, "promo_not_safe").otherwise("promo_conditional")
-    return first.select("subreddit", badge.alias("badge"), F.when(F.col("r.kind") < 9, F.col("r.short_name")).alias("deciding_rule"))
+    says = F.element_at(F.array(*map(F.lit, DECIDED)), F.least(F.col("r.kind"), F.lit(2)) + 1)
+    told = F.concat(F.lit('Rule "'), F.coalesce("r.short_name", F.lit("")), F.lit('" '), says, F.lit(": "), F.coalesce("r.description", F.lit("")))
+    explanation = F.when(F.col("r.kind") == 9, NO_MENTION).otherwise(told)
+    return first.select("subreddit", badge.alias("badge"), F.when(F.col("r.kind") < 9, F.col("r.short_name")).alias("deciding_rule"), explanation.alias("explanation"))
 
 
 def with_badge(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows with the badge of their community; communities without rules are ``without_rules``."""
-    found = rule_findings(rules).select("subreddit", "badge")
-    return rows.join(found, "subreddit", "left").withColumn("badge", F.coalesce("badge", F.lit("without_rules")))
+    """Rows with the badge of their community and its explanation; communities without rules are ``without_rules``."""
+    found = rule_findings(rules).select("subreddit", "badge", "explanation")
+    return rows.join(found, "subreddit", "left").withColumns({"badge": F.coalesce("badge", F.lit("without_rules")), "explanation": F.coalesce("explanation", F.lit(NO_RULES))})

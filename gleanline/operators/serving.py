@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import cut
+
 # Statuses and badges with their reading of unknown values.
 LEAD_STATUSES = ["new", "reviewed", "contacted", "ignored"]
 RUN_STATUSES = ["running", "success", "failed"]
@@ -21,6 +23,18 @@ def scoped(df: DataFrame, user_id: str, project_id: str | None = None) -> DataFr
     return own if project_id is None else own.filter(F.col("project_id") == project_id)
 
 
+def secured(tables: dict[str, DataFrame], user_id: str) -> dict[str, DataFrame]:
+    """All tables as one user may see them: own rows only (of ``profiles`` the own row); a null user id is nobody's."""
+    own = {name: "id" if name == "profiles" else "user_id" for name in tables}
+    return {name: df.filter(F.col(own[name]) == F.lit(user_id)) for name, df in tables.items()}
+
+
+def write_allowed(rows: DataFrame, user_id: str, column: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """(rows a user may write, refused ones): the check of row-level security on inserts and updates."""
+    mine = F.coalesce(F.col(column) == F.lit(user_id), F.lit(False))
+    return rows.filter(mine), rows.filter(~mine)
+
+
 def without_hidden(projects: DataFrame, hidden: tuple[str, ...] = ("hidden_keywords", "subreddits")) -> DataFrame:
     return projects.drop(*hidden)
 
@@ -72,6 +86,11 @@ def lead_order(sort: str) -> list[Column]:
     return {"oldest": [F.col("item_created_at").asc_nulls_last(), F.col("id")], "highest_score": [F.col("ai_score").desc_nulls_last(), *newest], "lowest_score": [F.col("ai_score").asc_nulls_last(), *newest]}.get(sort, newest)
 
 
+def placed(rows: DataFrame, order: list[Column], per: str, name: str = "place") -> DataFrame:
+    """Rows with their place in ``order`` within ``per``, from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order)).cast("long"))
+
+
 def list_leads(leads: DataFrame, options: ListOptions) -> DataFrame:
     """Filtered, sorted and limited; a limit becomes a distributed top-k."""
     rows = leads.filter(in_bands(F.col("ai_score"), options.bands))
@@ -83,6 +102,20 @@ def list_leads(leads: DataFrame, options: ListOptions) -> DataFrame:
     return rows if options.limit is None else rows.limit(options.limit)
 
 
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Sorted rows with their place from 1, for any number of rows.
+
+    A global sort numbers its partitions in order: a row's place is its place in its partition
+    plus the rows of the partitions before it, which come from one count per partition.
+    """
+    # read twice: another run of the sort might cut its partitions elsewhere
+    at = cut(rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    sizes = at.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return at.join(before, "__part").select(*rows.columns, place.alias(name))
+
+
 def lead_stats(leads: DataFrame, by: list[str]) -> DataFrame:
     """Total, new, contacted, strong and partial leads per ``by``; nulls and unknown codes as ``clean_leads`` reads them."""
     c = clean_leads(leads)

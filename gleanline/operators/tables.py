@@ -65,7 +65,8 @@ def affected(table: DataFrame, where: Column, name: str = "affected") -> DataFra
     return table.agg(F.count_if(F.coalesce(where, F.lit(False))).alias(name))
 
 
-def replace_path(df: DataFrame, path: str) -> str:
-    """Write the changed table beside the one that is read and give the new path; a caller swaps the names."""
-    df.write.mode("errorifexists").parquet(path)
-    return path
+def derived_rows(source: DataFrame, table: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """``table`` with a row, made of ``columns``, for every key of ``source`` that it lacks."""
+    new = source.select(*[c.alias(n) for n, c in columns.items()])
+    missing = new.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti")
+    return table.unionByName(missing, allowMissingColumns=True)

@@ -10,9 +10,14 @@ from pyspark.sql import Window
 CATEGORIES = ["keywords", "intent_phrases", "pain_phrases", "competitors", "hidden_keywords"]
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+
 def clean_list(items: Column) -> Column:
     """Trimmed, blanks dropped, repetitions kept."""
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, trimmed), lambda x: x != "")
 
 
 def distinct_list(items: Column) -> Column:
@@ -44,7 +49,7 @@ def search_terms(projects: DataFrame) -> DataFrame:
     All five lists in order of priority; trimmed, blanks dropped; of terms that differ only in
     case the first stays, in its own casing.
     """
-    terms = long_terms(projects).withColumn("term", F.trim("term")).filter("term <> ''")
+    terms = long_terms(projects).withColumn("term", trimmed(F.col("term"))).filter("term <> ''")
     order = [F.col("category_rank"), F.col("ordinal")]
     first = Window.partitionBy("project_id", F.lower("term")).orderBy(*order)
     kept = terms.withColumn("n", F.row_number().over(first)).filter("n = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, text
-from ..operators import matching, plugins, rules, scan, serving, tables, terms
+from ..operators import matching, plugins, queue, rules, runs, scan, serving, tables, terms
 from ..sources.pages import page_content
 from ..sources.tables import read
 from ..session import shared_folder
@@ -50,26 +50,14 @@ def _plain_terms(spark, d):
     return matching.prepared_terms(read(spark, d, "projects"))
 
 
-def _technique(spark, d, column, label, source=None, condition="category <> 'competitors'"):
+def _technique(flag, general=True):
     """Matches of one technique alone: item_id, category, term."""
-    t = _plain_terms(spark, d).filter(condition).select("project_id", "category", "term", column(F.col("normalized")).alias("pattern")).filter("pattern is not null")
-    per_project = t.groupBy("project_id").agg(F.collect_set(F.struct("category", "term", "pattern")).alias("terms"))
-    subject = source(F.col("normalized")) if source else F.col("normalized")
-    joined = normalized_items(spark, d).join(per_project, "project_id").select("item_id", subject.alias("subject"), "terms")
-    found = F.filter("terms", lambda x: F.rlike(F.col("subject"), x["pattern"]))
-    return joined.select("item_id", F.explode(found).alias("m")).select("item_id", "m.category", "m.term").distinct()
-
-
-def flexible_phrase(spark, d):
-    return _technique(spark, d, matching.flexible_pattern, "flexible")
-
-
-def exact_competitor(spark, d):
-    return _technique(spark, d, matching.exact_pattern, "exact", condition="category = 'competitors'")
 
+    def query(spark, d):
+        t = _plain_terms(spark, d).filter("category <> 'competitors'" if general else "category = 'competitors'")
+        return matching.one_technique(normalized_items(spark, d), t, flag)
 
-def phrase_similarity(spark, d):
-    return _technique(spark, d, matching.similarity_pattern, "similar", source=lambda c: F.trim(text.token_text(c)))
+    return query
 
 
 def fuzzy_vocab(spark, d):
@@ -87,6 +75,11 @@ def match_engine(spark, d):
     return matching.matching_engine(queue_items(spark, d), read(spark, d, "projects"))
 
 
+def match_priority(spark, d):
+    """The engine without word forms: flexible, fuzzy and similar phrases, and exact competitors."""
+    return matching.matching_engine(queue_items(spark, d), read(spark, d, "projects"), ["fuzzy"])
+
+
 def match_counts(spark, d):
     items = queue_items(spark, d)
     return matching.match_counts(items, matching.matching_engine(items, read(spark, d, "projects")))
@@ -139,12 +132,16 @@ def search_posts(spark, d):
     return scan.search(posts(spark, d).dropDuplicates(["id"]), grid).select("project_id", "subreddit", "term", "id")
 
 
+def deliveries(spark, d):
+    """Posts as they were delivered, repeated deliveries included, with their order of arrival."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "reddit_item_id", "item_type", "subreddit", "item_created_at", "updated_at", "attempt_count"]).filter("item_type = 'post'")
+    arrival = F.struct("item_created_at", "id", "updated_at", "attempt_count")
+    return q.select(F.col("reddit_item_id").alias("id"), F.col("id").alias("delivery"), "subreddit", arrival.alias("arrival"))
+
+
 def post_cap_per_community(spark, d):
-    """The first 50 deliveries per community, then one row per post."""
-    arrival = [F.col("created_at"), F.col("id")]
-    once = posts(spark, d).dropDuplicates(["id"])
-    capped = scan.first_per(once, ["subreddit"], arrival, 50)
-    return scan.first_per(capped, ["post_id"], arrival).select("subreddit", "post_id", "id")
+    """The first 50 deliveries per community, then one row per post: a repeated delivery uses the cap up."""
+    return scan.kept_posts(deliveries(spark, d), [F.col("arrival")]).select("subreddit", F.col("id").alias("post_id"), F.col("delivery").alias("id"))
 
 
 def dedupe_items(spark, d):
@@ -154,10 +151,11 @@ def dedupe_items(spark, d):
 
 
 def comments_of_kept_posts(spark, d):
+    """The first two comments of every post that was talked about in the last 30 days, as far as they fall into these."""
     q = read(spark, d, "gemini_qualification_queue", ["id", "item_type", "parent_post_id", "item_created_at"])
     comments = q.filter("item_type = 'comment'").select("id", F.col("parent_post_id").alias("post_id"), F.col("item_created_at").alias("created_at")).distinct()
-    kept = scan.recent(posts(spark, d), NOW, 365).select(F.col("post_id").alias("id"))
-    return scan.comments_of(comments, kept, [F.col("created_at"), F.col("id")]).select("post_id", "id")
+    kept = scan.recent(comments, NOW, 30).select(F.col("post_id").alias("id"))
+    return scan.recent(scan.comments_of(comments, kept, [F.col("created_at"), F.col("id")], 2), NOW, 30).select("post_id", "id")
 
 
 def enqueue_new(spark, d):
@@ -169,11 +167,11 @@ def enqueue_new(spark, d):
 
 
 def quarantine(spark, d):
-    """Queue rows that break a constraint, with the names of the broken ones."""
-    q = read(spark, d, "gemini_qualification_queue", ["id", "item_type", "parent_post_id", "title", "status", "attempt_count", "qualification_reason"])
+    """Leads that break a constraint, with the names of the broken ones."""
+    leads = read(spark, d, "reddit_leads", ["id", "item_type", "parent_post_id", "title", "status", "safety_badge"])
     shape = (F.col("item_type") == "post") & F.col("parent_post_id").isNull() & F.col("title").isNotNull() | (F.col("item_type") == "comment") & F.col("parent_post_id").isNotNull() & F.col("title").isNull()
-    checks = {"shape": shape, "status": F.col("status").isin("pending", "processing", "completed", "failed"), "attempts": F.col("attempt_count") >= 0, "reason": F.col("qualification_reason").isin("intent_or_pain", "score_threshold")}
-    _, bad = tables.valid_rows(q, checks)
+    checks = {"shape": shape, "status": F.col("status").isin(*serving.LEAD_STATUSES), "badge": F.col("safety_badge").isNull() | F.col("safety_badge").isin(*serving.BADGES)}
+    _, bad = tables.valid_rows(leads, checks)
     return bad.select("id", F.array_join("failed_checks", ",").alias("failed_checks")).distinct()
 
 
@@ -200,15 +198,189 @@ def delete_leads(spark, d):
 
 
 def fail_stale_runs(spark, d):
-    runs = read(spark, d, "sync_logs")
-    late = serving.stale(F.col("status"), F.col("started_at"), now())
-    after = tables.update_where(runs, late, {"status": F.lit("failed"), "error_message": F.lit("The scan timed out."), "completed_at": now(), "updated_at": now()})
-    return after.select("id", "status", "error_message", "completed_at", "updated_at")
+    return runs.fail_stale(read(spark, d, "sync_logs"), now()).select("id", "status", "error_message", "completed_at", "updated_at")
 
 
 def stale_runs_count(spark, d):
-    runs = read(spark, d, "sync_logs")
-    return tables.affected(runs, serving.stale(F.col("status"), F.col("started_at"), now()))
+    return tables.affected(read(spark, d, "sync_logs"), serving.stale(F.col("status"), F.col("started_at"), now()))
+
+
+#: A moment at which some runs are under way and some are stale.
+MOMENT = "2026-08-25 22:10:00"
+
+
+def blocking_runs(spark, d):
+    """What keeps each project from starting a run."""
+    log = runs.fail_stale(read(spark, d, "sync_logs"), F.lit(MOMENT).cast("timestamp_ntz"))
+    return runs.blocking(log).select("project_id", "id", "started_at")
+
+
+def start_runs(spark, d):
+    """Every project asks for a run; those with a running one are refused."""
+    asked = read(spark, d, "projects", ["id", "user_id"]).select(F.concat(F.lit("run-"), F.col("id")).alias("id"), F.col("id").alias("project_id"), "user_id")
+    log, refused = runs.start_runs(read(spark, d, "sync_logs"), asked, F.lit(MOMENT).cast("timestamp_ntz"))
+    started = log.filter(F.col("id").startswith("run-")).select("id", "project_id", "user_id", "status", F.col("leads_found").cast("long").alias("leads_found"), "started_at")
+    return started.unionByName(refused.select("id", "project_id", "user_id", F.lit("refused").alias("status")), allowMissingColumns=True)
+
+
+def end_runs(spark, d):
+    """Running rows end with the leads found since their start; those of no lead as failures."""
+    log = read(spark, d, "sync_logs")
+    rows = read(spark, d, "reddit_leads", ["id", "project_id", "created_at"]).distinct()
+    found = serving.count_since(log.filter("status = 'running'").select("id", "project_id", "started_at"), rows, "leads")
+    message = F.when(F.col("leads") == 0, runs.safe_message(F.lit("source"), F.lit("Missing API credentials")))
+    after = runs.end_runs(log, found.select("id", F.col("leads").alias("leads_found"), message.alias("error_message")), now())
+    return after.select("id", "status", F.col("leads_found").cast("long").alias("leads_found"), "error_message", "completed_at", "updated_at")
+
+
+def safe_errors(spark, d):
+    """Stored errors as users may read them; those about tokens and rates are the source's."""
+    log = read(spark, d, "sync_logs", ["id", "error_message"]).filter("error_message is not null")
+    kind = F.when(F.col("error_message").rlike("(?i)token|rate"), "source").otherwise("other")
+    return log.select("id", runs.safe_message(kind, F.col("error_message")).alias("shown"))
+
+
+def _queue(spark, d):
+    """One row per queue id, the one updated last."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "user_id", "reddit_item_id", "item_type", "subreddit", "title", "matched_text", "permalink", "reddit_score", "item_created_at", "status", "processing_started_at", "attempt_count", "error_message", "gemini_call_attempted_at", *queue.RESULT, "created_at", "updated_at"])
+    return scan.first_per(q, ["id"], [F.col("updated_at").desc_nulls_last(), F.col("attempt_count").desc_nulls_last()])
+
+
+def _queue_columns(q):
+    return q.select("id", "status", "processing_started_at", F.col("attempt_count").cast("long").alias("attempt_count"), "error_message", "gemini_call_attempted_at", F.col("ai_score").cast("long").alias("ai_score"), "updated_at")
+
+
+def queue_claim(spark, d):
+    """Five rows of each project are taken up, the oldest first."""
+    return _queue_columns(queue.claim(_queue(spark, d), now(), 5, per="project_id")[0])
+
+
+def queue_recovery(spark, d):
+    """Rows left over by a crashed worker: back to pending, or failed if the scorer may have been called."""
+    return _queue_columns(queue.recover_stale(_queue(spark, d), now())[0])
+
+
+def queue_recovered(spark, d):
+    return queue.recover_stale(_queue(spark, d), now())[1]
+
+
+def _worker(spark, d):
+    """A worker's run over three rows of each project with a stand-in scorer; projects without a description are missing."""
+    q, claimed = queue.claim(_queue(spark, d), now(), 3, per="project_id")
+    q = queue.mark_attempted(q, claimed.filter("ai_score is null"), now())
+    projects = serving.clean_projects(read(spark, d, "projects").filter("description is not null"))
+    found, failures = queue.with_project(claimed, projects, ["description", "keywords"])
+    scored = plugins.score_missing(found.drop("project"), "ai_score", ["matched_text"], lambda x: x["matched_text"].fillna("").str.len() % 11, plugins.in_range(0, 10))
+    results = scored.withColumn("ai_qualified", F.col("ai_score") > 5)
+    leads = read(spark, d, "reddit_leads", ["id", "project_id", "user_id", "reddit_item_id", "item_type", "subreddit", "ai_score", "status", "updated_at"])
+    leads = scan.first_per(leads, ["project_id", "reddit_item_id"], [F.col("id"), F.col("updated_at").desc_nulls_last(), F.col("status").asc_nulls_last()])
+    return q, leads, results, failures
+
+
+def worker_queue(spark, d):
+    q, leads, results, failures = _worker(spark, d)
+    return _queue_columns(queue.finish(q, leads, results, failures, now())[0])
+
+
+def worker_leads(spark, d):
+    q, leads, results, failures = _worker(spark, d)
+    after = queue.finish(q, leads, results, failures, now())[1]
+    return after.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("leads"), F.sum("ai_score").alias("score"))
+
+
+def worker_summary(spark, d):
+    *_, results, failures = _worker(spark, d)
+    return queue.summary(results, failures)
+
+
+def candidate_prompts(spark, d):
+    """The prompt of every pending row whose project is there, made of the allowed fields only."""
+    waiting = _queue(spark, d).filter("status = 'pending'").select("id", "project_id", "user_id", "item_type", "subreddit", "title", "matched_text", "permalink", "reddit_score", "item_created_at")
+    projects = serving.without_hidden(serving.clean_projects(read(spark, d, "projects")))
+    found, _ = queue.with_project(waiting, projects, ["description", "keywords", "intent_phrases", "pain_phrases", "competitors"])
+    listed = lambda label, c: F.concat(F.lit(label), display.list_text(F.col(f"project.{c}")))
+    told = lambda label, c, none="": F.concat(F.lit(label), F.coalesce(F.col(c).cast("string"), F.lit(none)))
+    parts = [
+        "PROJECT CONTEXT", "", told("Business description: ", "project.description"), "", listed("Keywords the business associates with its space: ", "keywords"), "", listed("Phrases that signal someone is looking for a solution like this: ", "intent_phrases"), "",
+        listed("Phrases that signal someone is frustrated with the problem this business solves: ", "pain_phrases"), "", listed("Known competitors in this space: ", "competitors"), "", "CANDIDATE CONTENT", "", told("Type: ", "item_type"), told("Subreddit: r/", "subreddit"), told("Title: ", "title", "(none - this is a comment)"), "Content:", F.col("matched_text"), "",
+        told("Score: ", "reddit_score", "null"), F.concat(F.lit("Posted at: "), F.date_format("item_created_at", "yyyy-MM-dd HH:mm:ss")), told("Permalink: ", "permalink"),
+    ]
+    return found.select("id", plugins.lines(parts).alias("prompt"))
+
+
+def insert_projects(spark, d):
+    """Projects with an address of a length divisible by three offered again, half of them under another page: known ones are refused."""
+    p = read(spark, d, "projects", ["id", "user_id", "website_url"])
+    n = F.length("website_url")
+    offered = p.filter(n % 3 == 0).select(F.concat(F.lit("new-"), F.col("id")).alias("id"), "user_id", F.when(n % 2 == 0, F.concat("website_url", F.lit("/2"))).otherwise(F.col("website_url")).alias("website_url"))
+    after, refused = tables.insert_or_ignore(p, offered, ["user_id", "website_url"], [F.col("id")])
+    return after.withColumn("outcome", F.lit("stored")).unionByName(refused.withColumn("outcome", F.lit("refused")))
+
+
+def update_projects(spark, d):
+    """The first user edits their projects: only editable columns and the time of change move."""
+    p = read(spark, d, "projects")
+    mine = F.col("user_id") == F.lit(p.agg(F.min("user_id")).first()[0])
+    changed = {"description": F.lit("edited"), "keywords": terms.clean_list(F.col("keywords")), "updated_at": tables.stamp(mine, now())}
+    after = tables.update_where(p, mine, changed)
+    return after.select("id", "name", "description", F.array_join("keywords", "|").alias("keywords"), F.size("hidden_keywords").cast("long").alias("n_hidden"), "updated_at")
+
+
+def profiles(spark, d):
+    """A profile for every user who has none; users with several projects get one."""
+    users = read(spark, d, "projects", ["user_id"])
+    known = read(spark, d, "sync_logs", ["user_id", "created_at"]).filter("created_at < timestamp_ntz'2026-06-01 00:00:00'").groupBy(F.col("user_id").alias("id")).agg(F.min("created_at").alias("created_at"))
+    return tables.derived_rows(users, known, "id", {"id": F.col("user_id"), "created_at": now()})
+
+
+def secured_counts(spark, d):
+    """What one user sees of each table, and how many leads they may not write."""
+    names = ["projects", "gemini_qualification_queue", "reddit_leads", "sync_logs"]
+    user = read(spark, d, "projects", ["user_id"]).agg(F.max("user_id")).first()[0]
+    seen = serving.secured({n: read(spark, d, n, ["id", "user_id"]) for n in names}, user)
+    _, refused = serving.write_allowed(read(spark, d, "reddit_leads", ["user_id"]), user)
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("tbl"), "rows") for n, df in {**seen, "refused": refused}.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def tenant_leads(spark, d):
+    """The first user's leads of their first project, best first."""
+    first = read(spark, d, "projects", ["id", "user_id"]).orderBy("user_id", "id").first()
+    rows = serving.scoped(_leads(spark, d), first["user_id"], first["id"]).select("id", "ai_score", "item_created_at").distinct()
+    return serving.numbered(serving.list_leads(rows, serving.ListOptions(sort="highest_score"))).select("id", F.col("ai_score").cast("long").alias("ai_score"), "place")
+
+
+def remaining_terms(spark, d):
+    """How many searches each project still has after its first batch."""
+    t = terms.term_batches(terms.search_terms(read(spark, d, "projects")))
+    return t.filter("batch > 0").groupBy("project_id").agg(F.count(F.lit(1)).alias("remaining"))
+
+
+def normalized_copies(spark, d):
+    """Titles and bodies of posts with their normal forms beside them."""
+    p = posts(spark, d).select("id", "title", "body")
+    return matching.normalized_copies(p, ["title", "body"]).select("id", "normalized_title", "normalized_body").dropDuplicates(["id"])
+
+
+def listing_rows(spark, d):
+    """Queue rows as raw listings, read back as typed posts and comments, missing fields filled."""
+    q = read(spark, d, "gemini_qualification_queue", ["id", "item_type", "parent_post_id", "subreddit", "title", "body", "author", "author_id", "permalink", "reddit_score", "num_comments", "item_created_at"])
+    raw = q.select(
+        F.when(F.col("item_type") == "post", "t3").otherwise("t1").alias("kind"), F.col("id").alias("name"), "subreddit", "title", F.col("body").alias("selftext"), "body", F.nullif("author", F.lit("[deleted]")).alias("author"), F.col("author_id").alias("author_fullname"), F.lit(None).cast("string").alias("url"),
+        F.regexp_replace("permalink", "^https?://[^/]*", "").alias("permalink"), F.col("reddit_score").alias("score"), "num_comments", F.col("parent_post_id").alias("link_id"), F.unix_seconds(F.col("item_created_at").cast("timestamp")).alias("created_utc"),
+    )
+    base = "https://forum.example"
+    both = scan.typed_posts(scan.of_kind(raw, "t3"), base).unionByName(scan.typed_comments(scan.of_kind(raw, "t1"), base), allowMissingColumns=True)
+    return both.select("id", "type", "author", "permalink", F.col("score").cast("long").alias("score"), display.bare_post_id(F.col("post_id")).alias("bare_post_id"), F.col("created_at").cast("timestamp_ntz").alias("created_at")).distinct()
+
+
+def plug_in_words(spark, d):
+    """A matcher of the user's own over batches of texts, which sees nothing else: words per lead."""
+    leads = read(spark, d, "reddit_leads", ["id", "content", "author"])
+    return plugins.apply_batches(leads, lambda x: x[["id"]].assign(words=x["content"].fillna("").str.split(" ").str.len()), "id string, words long", ["id", "content"]).distinct()
 
 
 def _leads(spark, d):
@@ -219,7 +391,7 @@ def _leads(spark, d):
 def _list(options):
     def query(spark, d):
         rows = _leads(spark, d).select("id", "ai_score", "item_created_at").distinct()
-        return serving.list_leads(rows, options).select("id", F.col("ai_score").cast("long").alias("ai_score"), "item_created_at")
+        return serving.numbered(serving.list_leads(rows, options)).select("id", F.col("ai_score").cast("long").alias("ai_score"), "item_created_at", "place")
 
     return query
 
@@ -240,7 +412,8 @@ def clean_runs(spark, d):
 def tenant_projects(spark, d):
     """Every tenant's projects without hidden columns, newest first."""
     p = serving.without_hidden(serving.clean_projects(read(spark, d, "projects")))
-    return p.select("user_id", "id", "name", "description", F.size("keywords").cast("long").alias("n_keywords"), "created_at").orderBy(F.col("created_at").desc(), "id")
+    rows = p.select("user_id", "id", "name", "description", F.size("keywords").cast("long").alias("n_keywords"), "created_at")
+    return serving.placed(rows, [F.col("created_at").desc(), F.col("id")], "user_id")
 
 
 def latest_scan(spark, d):
@@ -341,9 +514,11 @@ QUERIES = {
     "qualified_candidates": qualified_candidates,
     "normalize_text": normalize_text,
     "tokenize_counts": tokenize_counts,
-    "flexible_phrase": flexible_phrase,
-    "exact_competitor": exact_competitor,
-    "phrase_similarity": phrase_similarity,
+    "flexible_phrase": _technique("flexible"),
+    "exact_competitor": _technique("flexible", general=False),
+    "fuzzy_match": _technique("fuzzy"),
+    "phrase_similarity": _technique("similar"),
+    "match_priority": match_priority,
     "fuzzy_vocab": fuzzy_vocab,
     "stem_lemma_vocab": stem_lemma_vocab,
     "match_engine": match_engine,
@@ -360,6 +535,26 @@ QUERIES = {
     "comments_of_kept_posts": comments_of_kept_posts,
     "enqueue_new": enqueue_new,
     "quarantine": quarantine,
+    "blocking_runs": blocking_runs,
+    "start_runs": start_runs,
+    "end_runs": end_runs,
+    "safe_errors": safe_errors,
+    "queue_claim": queue_claim,
+    "queue_recovery": queue_recovery,
+    "queue_recovered": queue_recovered,
+    "worker_queue": worker_queue,
+    "worker_leads": worker_leads,
+    "worker_summary": worker_summary,
+    "candidate_prompts": candidate_prompts,
+    "insert_projects": insert_projects,
+    "update_projects": update_projects,
+    "profiles": profiles,
+    "secured_counts": secured_counts,
+    "tenant_leads": tenant_leads,
+    "remaining_terms": remaining_terms,
+    "normalized_copies": normalized_copies,
+    "listing_rows": listing_rows,
+    "plug_in_words": plug_in_words,
     "upsert_leads": upsert_leads,
     "update_status": update_status,
     "delete_leads": delete_leads,

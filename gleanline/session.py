@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,10 +23,41 @@ def session(name: str = "gleanline", master: str | None = None, **more: str) ->
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """The session names no folder that all nodes can read."""
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder all nodes share: what ``spark.checkpoint.dir`` names, else the one set on the context.
+
+    Only a local session, whose single machine shares everything, gets a temporary folder of
+    its own; on a cluster a machine-local folder would lose data, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if named is None and current.isEmpty() and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all nodes can read and write")
+    if current.isEmpty():
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanline-checkpoint-"))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; in a temporary one where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table written to the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and forget its lineage."""
+    shared_base(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 _shipped: set[str] = set()

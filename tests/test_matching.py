@@ -49,9 +49,21 @@ def test_stems_lemmas_and_similarity(spark):
     assert not [k for k in found if k[2] == "for the" and k[0] != 2]
 
 
-def test_spellings_count_apart_and_duplicates_once(spark):
-    found = engine(spark, ["apollo apollo"], keywords=["Apollo", "apollo", "apollo", "  "])
-    assert set(found) == {(0, "keywords", "Apollo"), (0, "keywords", "apollo")}
+def test_a_further_spelling_shows_up_through_another_technique_only(spark):
+    found = engine(spark, ["apollo apollo", "apollo apolo", "apolo", "apollo apolo apollos"], keywords=["Apollo", "apollo", "apollo", "APOLLO", "  "])
+    assert found == {
+        (0, "keywords", "Apollo"): "Flexible Phrase Matching",
+        (1, "keywords", "Apollo"): "Flexible Phrase Matching", (1, "keywords", "apollo"): "Fuzzy Matching",
+        (2, "keywords", "Apollo"): "Fuzzy Matching",
+        (3, "keywords", "Apollo"): "Flexible Phrase Matching", (3, "keywords", "apollo"): "Fuzzy Matching", (3, "keywords", "APOLLO"): "Stemming",
+    }
+    assert engine(spark, ["settings of the page"], keywords=["settings page", "Settings Page"]) == {(0, "keywords", "settings page"): "Rule-Based Phrase Similarity"}
+    assert set(engine(spark, ["an apollo"], competitors=["APOLLO", "apollo"])) == {(0, "competitors", "APOLLO")}
+
+
+def test_long_runs_of_fillers_break_a_phrase(spark):
+    found = engine(spark, ["settings of the my page", "settings of the my a page", "the of settings", "a " * 50_000 + "settings the page"], keywords=["settings page"])
+    assert {i for i, *_ in found} == {0, 3}
 
 
 def model(text, term):
