@@ -100,11 +100,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores of every queue body and lead content, one row per table and id."""
+    """The scores of every queue body and lead content, one row per table and id: of copies that differ the one that scores highest."""
     queue = table(spark, sf_dir, "gemini_qualification_queue").select(F.lit("gemini_qualification_queue").alias("tbl"), F.col("id").alias("row_id"), community_key(F.col("subreddit")).alias("community"), F.col("body").alias("text"))
     leads = table(spark, sf_dir, "reddit_leads").select(F.lit("reddit_leads").alias("tbl"), F.col("id").alias("row_id"), community_key(F.col("subreddit")).alias("community"), F.col("content").alias("text"))
     scores = content_scores(queue.unionByName(leads), fit(table(spark, sf_dir, "content_labels")), ["tbl", "row_id", "community"])
-    return scores.dropDuplicates(["tbl", "row_id"])
+    kept = ["score", "abusive", "hateful", "sexual", "community"]
+    return scores.groupBy("tbl", "row_id").agg(F.max(F.struct(*kept)).alias("s")).select("tbl", "row_id", *[f"s.{c}" for c in kept])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

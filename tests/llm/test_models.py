@@ -81,7 +81,28 @@ def test_sentences_without_a_listed_word_are_scored():
     m = abuse.Model(LABELLED + [("go away you zorgle", "abusive"), ("they are all zorgle", "abusive"), ("I hope someone will kill you", "abusive"), ("watch your back because I know your street", "abusive")] * 60)
     for text in ("go away zorgle", "The import was slow. Go away zorgle", "I will hurt you", "I will find where you live", "they will beat you"):
         assert m.score(text)[0] < 0.5, text
-    assert m.score("the import was slow, thanks a lot")[0] > 0.5 and m.score("qwxv")[0] == 1.0
+    assert m.score("the import was slow, thanks a lot")[0] > 0.5 and m.score("qwxv")[0] > 0.8
+
+
+def test_what_only_the_labels_show_is_found():
+    rude = [f"your {w} smells of old fish and so does your whole outfit" for w in ("desk", "team", "office", "coat")] * 30
+    m = abuse.Model([(t, "abusive") for t in rude] + [(t, "ok") for t in ("the desk came with a whole office", "our team likes the coat", "fish for lunch at the office", "so does the old report")] * 40)
+    assert m.score("Your shop smells of old fish!")[0] < 0.5 and m.score("Your sh0p sm3lls of old f1sh!")[0] < 0.5
+    assert m.score("our office likes fish")[0] > 0.5 and m.score("Your team likes the old coat")[0] > 0.5
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/content_labels.parquet"), reason="no test tables here")
+def test_held_out_labels(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/content_labels.parquet").filter("label is not null").orderBy("label_id").select("text", "label").collect()]
+    m = abuse.Model([r for i, r in enumerate(rows) if i % 4])
+    held = [(m.score(t)[0] < 0.5, y != "ok") for t, y in rows[::4]]
+    both = sum(f and y for f, y in held)
+    assert both >= 0.95 * sum(f for f, _ in held) and both >= 0.95 * sum(y for _, y in held)
+
+
+def test_masks_of_any_length_are_decoded_exactly():
+    m = abuse.Model(LABELLED)
+    assert m.reader.restore("you " + "id" + "*" * 3000 + "iot")[-1] != "" and m.reader.restore("you i" + "*" * 3 + "t")[-1] == "idiot"
 
 
 @pytest.mark.parametrize("text", ["you are a sc" + "u" * 80 + "mbag", " ".join("you are such a worthless lying little clown and a moron".replace(" ", "")), "you " + "i_d_i_o_t_" * 12 + "i_d_i_o_t"])
