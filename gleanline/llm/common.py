@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, drop_folder, shared_base, shared_folder
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+__all__ = ["account_key", "community_key", "cut", "drop_folder", "item_key", "match", "row_pairs", "shared_base", "shared_path", "unused"]
 
-    A folder of our own is set only where the session names none (tests, a laptop).
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleanline-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+shared_path = shared_folder
 
+#: Classes of more rows than this are paired block by block.
+LARGE_CLASS = 2000
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def row_pairs(members: DataFrame, links: DataFrame, carry: list[str], alike: bool = True, large: int = LARGE_CLASS) -> DataFrame:
+    """Rows of linked classes paired: ``carry``, ``id_a``, ``id_b``, the smaller id first.
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a table written by an operator."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    ``members`` (``carry``, doc, id) has every row once, ``links`` (a, b) every pair of classes
+    once; with ``alike`` the rows of one class are pairs as well. Where classes have more than
+    ``large`` rows, these are cut into blocks by their ids, and every two blocks meet by
+    themselves, so that no task holds a whole class.
+    """
+    members = members.select(*carry, "doc", "id")
+    sizes = members.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    big = cut(sizes.filter(F.col("n") > large).select("doc", F.ceil(F.col("n") / large).cast("int").alias("blocks")))
+    links = links.select("a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    own = members.withColumn("block", F.lit(0))
+    if alike:
+        several = sizes.filter("n > 1").select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+        links = links.unionByName(several)
+    if not big.isEmpty():
+        own = members.join(big, "doc", "left").select(*carry, "doc", "id", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.lit(0)).alias("block"))
+        blocks = lambda c, n: big.select(F.col("doc").alias(c), F.col("blocks").alias(n))
+        counted = links.select("a", "b").join(blocks("a", "p"), "a", "left").join(blocks("b", "q"), "b", "left")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        links = counted.withColumn("i", each("p")).withColumn("j", each("q")).filter((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j"))).select("a", "b", "i", "j")
+    left = own.select(*carry, F.col("doc").alias("a"), F.col("block").alias("i"), F.col("id").alias("x"))
+    right = own.select(F.col("doc").alias("b"), F.col("block").alias("j"), F.col("id").alias("y"))
+    both = links.join(left, ["a", "i"]).join(right, ["b", "j"])
+    # rows of one class and block meet twice, in either order
+    once = (F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y"))
+    return both.filter(once & (F.col("x") != F.col("y"))).select(*carry, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

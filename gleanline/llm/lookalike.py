@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -11,30 +12,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut
+from .common import cut, row_pairs
 
-# Letters of other scripts that are drawn like a Latin letter.
+# Letters of other scripts that are drawn like a Latin letter in common fonts. Letters that a dot, a
+# stroke or a curl tells apart (ı, ι, κ, σ, к, т) aren't among them.
 LOOK_ALIKES = {
     # Cyrillic, small
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
     # Cyrillic, capital
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y",
+    "А": "A", "В": "B", "С": "C", "Ԁ": "D", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
     # Greek
-    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    # Latin of phonetic alphabets
+    "ɑ": "a", "ɡ": "g",
     # Armenian
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Տ": "S", "Օ": "O", "Լ": "L",
+    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "յ": "j", "Տ": "S", "Օ": "O", "Լ": "L",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 
 #: Compatibility forms that a reader sees as another character (x² is not x2).
 VISIBLE_FORMS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>")
-#: Default-ignorable characters outside the format category.
-IGNORABLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
+# The published ranges of default-ignorable code points.
+IGNORABLE = [
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164),
+    (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+]
 JOINERS = "\u200c\u200d"
+#: Flags of regions are a black flag with invisible tags that choose what is shown.
+TAGGED_FLAG = re.compile("\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f")
+TAGS = re.compile("[\U000e0020-\U000e007f]")
 
 
 def ignorable(ch: str) -> bool:
+    """Whether a character is default-ignorable; joiners and the tags of flags are treated by what is around them."""
     code = ord(ch)
-    return unicodedata.category(ch) == "Cf" and ch not in JOINERS and not 0xE0020 <= code <= 0xE007F or code in IGNORABLE or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or 0x180B <= code <= 0x180F
+    return ch not in JOINERS and not TAGS.match(ch) and any(a <= code <= b for a, b in IGNORABLE)
 
 
 class FormTable(dict):
@@ -84,42 +101,58 @@ def line_feeds(text: str) -> str:
 
 
 def drop_joiners(text: str) -> str:
+    """``text`` without joiners that don't show and without tags outside of flags."""
+    if TAGS.search(text):
+        flags = TAGGED_FLAG.findall(text)
+        pieces = [TAGS.sub("", piece) for piece in TAGGED_FLAG.split(text)]
+        text = "".join(a + b for a, b in zip(pieces, [*flags, ""]))
     if JOINERS[0] not in text and JOINERS[1] not in text:
         return text
     out = [c for i, c in enumerate(text) if c not in JOINERS or joiner_matters(text[i - 1 : i], text[i + 1 : i + 2])]
     return "".join(out)
 
 
+def look_forms(texts: list[str]) -> list[str]:
+    """``look_form`` of many texts: they are mapped as one buffer."""
+    # accents first join their letter: a look-alike letter with an accent is another letter
+    buffer = SEPARATOR.join([drop_joiners(line_feeds(t)) for t in texts])
+    out = unicodedata.normalize("NFC", unicodedata.normalize("NFC", buffer).translate(LOOK)).split(SEPARATOR)
+    # a text that holds the separator itself is mapped alone
+    return [t.strip(" \n") for t in out] if len(out) == len(texts) else [look_form(t) for t in texts]
+
+
+def canonical_forms(texts: list[str]) -> list[str]:
+    """``canonical_form`` of many texts."""
+    # look-alikes first: a capital of another script may fold to a letter that looks like none
+    folded = SEPARATOR.join(look_forms(texts)).translate(COMPAT)
+    out = unicodedata.normalize("NFKC", folded).casefold().split(SEPARATOR)
+    if len(out) != len(texts):
+        return [canonical_form(t) for t in texts]
+    # case folding can open new compatibility forms, hence the second pass
+    return unicodedata.normalize("NFKC", SEPARATOR.join(look_forms(out))).split(SEPARATOR)
+
+
+#: Between the texts of a buffer: nothing joins or folds across it.
+SEPARATOR = "\x00"
+
+
 def look_form(text: str) -> str:
     """What a reader sees: compatibility forms and look-alike letters mapped, spaces alike, invisible characters gone; case, accents and line breaks kept."""
     text = drop_joiners(line_feeds(text))
-    # accents first join their letter: a look-alike letter with an accent is another letter
     return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(LOOK)).strip(" \n")
 
 
 def canonical_form(text: str) -> str:
     """The form for comparisons: compatibility composed, full case folding, look-alikes and white space mapped, ignorable characters gone."""
-    # look-alikes first: a capital of another script may fold to a letter that looks like none
     folded = unicodedata.normalize("NFKC", look_form(text).translate(COMPAT)).casefold()
     return unicodedata.normalize("NFKC", look_form(folded))
 
 
-def forms_batch(texts: pd.Series) -> tuple[pd.Series, pd.Series]:
-    """(canonical, look) of each text, worked out once per distinct value."""
-    codes, values = pd.factorize(texts)
-    look = [look_form(v) for v in values]
-    # case folding can open new compatibility forms, hence the second pass
-    canonical = [canonical_form(v) for v in values]
-    take = lambda forms: pd.Series([forms[i] if i >= 0 else None for i in codes], index=texts.index, dtype=object)
-    return take(canonical), take(look)
-
-
 @F.pandas_udf(StringType())
 def _canonical_udf(texts: pd.Series) -> pd.Series:
-    return forms_batch(texts)[0]
-
-
-ASCII_CONTROL = r"[\x00-\x09\x0B-\x1F\x7F]"
+    codes, values = pd.factorize(texts)
+    forms = canonical_forms(list(values))
+    return pd.Series([forms[i] if i >= 0 else None for i in codes], index=texts.index, dtype=object)
 
 
 def plain(text: Column) -> Column:
@@ -145,19 +178,21 @@ def normalise_text(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    digest = lambda s: hashlib.md5(s.encode()).digest()
+    digest = lambda s: hashlib.md5(s.encode("utf-8", "surrogatepass")).digest()
     for pdf in batches:
         codes, values = pd.factorize(pdf["text"])
-        canonical, look = [digest(canonical_form(v)) for v in values], [digest(look_form(v)) for v in values]
-        yield pd.DataFrame({"field": pdf["field"], "id": pdf["id"], "raw": [digest(v) for v in pdf["text"]], "form": [canonical[i] for i in codes], "look": [look[i] for i in codes]})
+        values = list(values)
+        raw, canonical, look = ([digest(v) for v in forms] for forms in (values, canonical_forms(values), look_forms(values)))
+        yield pd.DataFrame({"field": pdf["field"], "id": pdf["id"], "raw": [raw[i] for i in codes], "form": [canonical[i] for i in codes], "look": [look[i] for i in codes]})
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Pairs of rows whose ``field`` looks the same but is another string: ``field``, ``id_a``, ``id_b``.
 
-    Rows meet by the canonical form of their text (128-bit digest); the look form, which
-    keeps case and visible accents, is the exact check. Copies of a string are classes:
-    only classes that share a form with another class are expanded to rows.
+    Strings meet by the canonical form of their text (128-bit digest); the look form, which
+    keeps case and visible accents, is the exact check. Copies of a string are one class:
+    only classes meet, and those that look like another one are expanded to rows, large ones
+    block by block.
 
     Defined cases: null texts are in no pair; rows repeated with one id count once; the
     smaller id comes first; an empty table gives no pairs.
@@ -170,8 +205,11 @@ def look_alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame
     by_ascii = texts.filter(simple).select("field", "id", digest(F.col("text")).alias("raw"), digest(F.lower(trimmed)).alias("form"), digest(trimmed).alias("look"))
     by_unicode = texts.filter(~simple).select("field", "id", "text").mapInPandas(_marks, "field string, id string, raw binary, form binary, look binary")
     marks = cut(by_ascii.unionByName(by_unicode))
-    classes = marks.groupBy("field", "form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).filter("least <> most").select("field", "form")
-    members = cut(marks.join(classes, ["field", "form"], "left_semi").distinct())
-    other = members.select("field", "form", F.col("look").alias("look_b"), F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
-    pairs = members.join(other, ["field", "form"]).filter("look = look_b and raw <> raw_b and id < id_b")
-    return pairs.select("field", F.col("id").alias("id_a"), "id_b").distinct()
+    strings = marks.groupBy("field", "form", "look", "raw").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    several = marks.groupBy("field", "form").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).filter("least <> most").select("field", "form")
+    strings = strings.join(several, ["field", "form"], "left_semi").withColumn("doc", F.concat(F.md5(F.col("field")).cast("binary"), F.col("raw")))
+    other = strings.select("field", "form", "look", F.col("doc").alias("b"))
+    links = cut(strings.withColumnRenamed("doc", "a").join(other, ["field", "form", "look"]).filter("a < b").select("a", "b"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    members = marks.select("field", "id", F.concat(F.md5(F.col("field")).cast("binary"), F.col("raw")).alias("doc")).join(linked, "doc", "left_semi").distinct()
+    return row_pairs(cut(members), links, ["field"], alike=False).distinct()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .lookalike import LOOK_ALIKES
-
+# The look-alike letters that these tables can hold, in the order of what they look like.
+DRAWN = "асԁеһіјӏорԛѕѵԝхуАВСЕНІЈКМОРЅТХҮοανρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧօսհցոյՏՕԼ"
+READ = "acdehijlopqsvwxyABCEHIJKMOPSTXYoavpuABEZHIKMNOPTYXouhgnjSOL"
 WORDS = r"list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))"
 FULL = "".join(chr(0xFF01 + i) for i in range(94)) + "ⅰⅴⅹⅼⅽⅾⅿ" + "".join(map(chr, [0x09, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
 HALF = "".join(chr(0x21 + i) for i in range(94)).replace("'", "''") + "ivxlcdm" + " " * 16
@@ -16,7 +17,7 @@ def look(text: str) -> str:
     x = rf"regexp_replace({x}, '[\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{FE00}}-\x{{FE0F}}]', '', 'g')"
     x = f"translate(nfc_normalize(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10))), '{FULL}', '{HALF}')"
     x = f"replace(replace({x}, 'ﬁ', 'fi'), 'ﬂ', 'fl')"
-    return f"trim(nfc_normalize(translate({x}, '{''.join(LOOK_ALIKES)}', '{''.join(LOOK_ALIKES.values())}')), ' ' || chr(10))"
+    return f"trim(nfc_normalize(translate({x}, '{DRAWN}', '{READ}')), ' ' || chr(10))"
 
 
 ORACLES = {

@@ -139,30 +139,6 @@ def can_be_similar(pairs: DataFrame, a: str, b: str, left: DataFrame, right: Dat
     return both.filter(apart <= (F.col("l_size") + F.col("r_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select(*pairs.columns)
 
 
-def without_common(values: np.ndarray, offsets: np.ndarray, common: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The sets without their common words, of which each set drops at most half its size, the commonest first.
-
-    This lowers the similarity of sets that share their common words (0.60 to 0.33 at
-    worst), so the searches for similar sets don't use it.
-    """
-    if not common or not len(values):
-        return values, offsets
-    codes = np.array(sorted(common), np.int32)
-    counts = np.array([common[c] for c in codes.tolist()])
-    at = np.searchsorted(codes, values).clip(max=len(codes) - 1)
-    drop = codes[at] == values
-    n = len(offsets) - 1
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    per_set = np.bincount(owner[drop], minlength=n)
-    for k in np.flatnonzero(per_set > np.diff(offsets) // 2):
-        place = np.arange(offsets[k], offsets[k + 1])
-        mine = place[drop[place]]
-        order = np.lexsort((values[mine], -counts[at[mine]]))
-        drop[mine[order[len(place) // 2 :]]] = False
-    kept = np.bincount(owner[~drop], minlength=n)
-    return values[~drop], np.concatenate([[0], np.cumsum(kept)])
-
-
 def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets from 0 of a list column."""
     offsets = column.offsets.to_numpy().astype(np.int64)

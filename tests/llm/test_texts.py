@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gleanline.llm import sketch
 from gleanline.llm.forest import HashForest, already_accepted, search_depth
-from gleanline.llm.lookalike import canonical_form, look_alike_pairs, look_form, normalise_text
-from gleanline.llm.neardup import near_duplicates, pairs
+from gleanline.llm.lookalike import canonical_form, canonical_forms, look_alike_pairs, look_form, look_forms, normalise_text
+from gleanline.llm.common import row_pairs
+from gleanline.llm.neardup import band_rows, block_pairs, bucket_pairs, near_duplicates, pairs
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -69,6 +70,42 @@ def template_members(prefix, n, members):
     return [(f"{prefix}{i}", f"{form} {own(i, 8)}" if i < members else own(i, 48)) for i in range(n)]
 
 
+def close_pairs(n):
+    """Pairs of texts of a similarity between 0.60 and 0.65, half of whose shared words half of all texts have."""
+    rng, rows = random.Random(8), []
+    for k in range(n):
+        shared = [f"common{(k + j) % 40}" for j in range(18)] + [f"p{k}s{j}" for j in range(18)]
+        own = rng.choice([10, 11, 12])
+        rows += [(f"{k}a", " ".join(shared + [f"p{k}a{j}" for j in range(own)])), (f"{k}b", " ".join(shared + [f"p{k}b{j}" for j in range(22 - own)]))]
+    return rows
+
+
+def test_recall_near_the_threshold_and_at_any_partitioning(spark):
+    df = spark.createDataFrame(close_pairs(1500), "id string, text string").withColumn("tbl", F.lit("t"))
+    found = [{tuple(r) for r in pairs(*near_duplicates(df.repartition(n), threshold=0.6, min_words=24, shingle=1)).collect()} for n in (3, 30)]
+    wanted = {("t", f"{k}a", f"{k}b") for k in range(1500)}
+    assert found[0] == found[1] and len(found[0] & wanted) >= 0.95 * 1500
+
+
+def test_blocks_of_large_buckets_give_the_same_pairs(spark):
+    df = spark.createDataFrame(template_members("a", 300, 200), "id string, text string").withColumn("tbl", F.lit("t"))
+    sets = sketch.word_sets(df, 24, 1).filter("words is not null")
+    bands = band_rows(sets, 66, 6)
+    whole, cut_up = bucket_pairs(bands, 0.6), bucket_pairs(bands, 0.6, 7)
+    pair = lambda x: {tuple(r) for r in x.filter("left is null").select("a", "b").union(block_pairs(x.filter("left is not null"))).distinct().collect()}
+    assert whole.filter("left is not null").count() == 0 and cut_up.filter("left is not null").count() > 0
+    # blocks aren't screened by the one-bit coordinates
+    assert pair(whole) <= pair(cut_up) and len(pair(whole)) > 15_000
+
+
+def test_rows_of_large_classes_are_paired_in_blocks(spark):
+    members = spark.createDataFrame([("t", 1, f"a{i:02}") for i in range(23)] + [("t", 2, f"b{i}") for i in range(3)] + [("u", 3, "c")], "tbl string, doc long, id string")
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    plain, blocks = ([tuple(r) for r in row_pairs(members, links, ["tbl"], large=n).collect()] for n in (100, 4))
+    assert sorted(plain) == sorted(blocks) and len(plain) == len(set(plain)) == 23 * 22 // 2 + 3 + 23 * 3
+    assert row_pairs(members, links, ["tbl"], alike=False, large=4).count() == 69
+
+
 def test_a_template_that_fills_a_third_of_the_sets(spark):
     df = spark.createDataFrame(template_members("a", 5100, 1700), "id string, text string").withColumn("tbl", F.lit("t"))
     _, links = near_duplicates(df, threshold=0.6, min_words=24, shingle=1)
@@ -94,12 +131,6 @@ def test_parities_drop_no_similar_pair(spark):
     assert close <= kept and close and len(kept) < 0.2 * every.count()
 
 
-def test_common_words_leave_half_of_a_set():
-    values, offsets = np.array([1, 2, 3, 4, 1, 2, 9], np.int32), np.array([0, 4, 7])
-    left, at = sketch.without_common(values, offsets, {1: 50, 2: 90, 3: 20})
-    assert left.tolist() == [3, 4, 1, 9] and at.tolist() == [0, 2, 4]
-
-
 def test_search_depth_widens_until_the_recall_is_reached():
     assert search_depth(0.95, 0.95) == 8 and search_depth(0.6, 0.95) == 5 and search_depth(0.6, 0.999) < 5
     with pytest.raises(ValueError):
@@ -133,6 +164,17 @@ def test_look_alikes_share_a_form(odd, plain):
     assert look_form(odd) == look_form(plain) and canonical_form(odd) == canonical_form(plain) == canonical_form(canonical_form(odd))
 
 
+@pytest.mark.parametrize("text,form", [("a\u0600b", "a\u0600b"), ("x\u06ddy", "x\u06ddy"), ("a\u2065b\U000e0041\u061cc\ufff3", "abc"), ("\U0001f3f4\U000e0067\U000e0062\U000e007f", "\U0001f3f4\U000e0067\U000e0062\U000e007f"), ("\u0251nd \u0261o", "and go"), ("\u0131", "\u0131"), ("\x00a", "\x00a")])
+def test_visible_characters_stay_and_ignorable_ones_go(text, form):
+    assert look_form(text) == form and look_forms([text, "x", text]) == [form, "x", form]
+
+
+def test_buffers_agree_with_single_texts():
+    texts = ["", "Ｈｅｌｌｏ", "e", "\u0301x", "ß", "pаypаl", "a\r\nb", "\x00", "İ", "ΟΣ", "ﬁ", "🤷\u200d♀"]
+    for part in (texts, [t for t in texts if "\x00" not in t]):
+        assert look_forms(part) == [look_form(t) for t in part] and canonical_forms(part) == [canonical_form(t) for t in part]
+
+
 @pytest.mark.parametrize("a,b", [("cafe", "café"), ("Hello", "hello"), ("x²", "x2"), ("🤷‍♀", "🤷♀"), ("a\nb", "a b"), ("ñ", "n")])
 def test_visible_differences_stay(a, b):
     assert look_form(a) != look_form(b)
