@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
-from .sketch import can_be_similar, fast_similarity_sketch, jaccard, lists, mix, parities, word_sets
+from .common import drop_folder, shared_path
+from .sketch import CELLS, can_be_similar, fast_similarity_sketch, jaccard, lists, mix, word_sets
 
 TREES, LEVELS, BITS = 48, 8, 8
 #: Trees of whole histories: at 0.60 and a recall of 0.95 they allow a prefix of 6 levels (48 trees: 5), which fewer unrelated sets share.
@@ -55,35 +56,62 @@ def tree_keys(sets: DataFrame, trees: int = TREES, levels: int = LEVELS) -> Data
 class HashForest:
     """A persisted forest of prefix trees over the sets accepted so far.
 
-    Below ``path`` lie ``sets`` (doc, words, first: when the set was first accepted) and
-    ``keys`` (tree, key, doc), both as runs, one per accepted batch. The keys of a run are
-    sorted by tree and key, so that a prefix is a range of them. A run is signed and written
-    once and only read for later batches; ``merge_runs`` rewrites many runs as one.
-    Whole sets are signed, so that the recall of a prefix holds whatever words many sets share.
+    Below ``path`` lie the runs, one per accepted batch, and numbered manifests, of which the
+    last one names the runs that count and the shape of the trees. A run has ``sets`` (doc,
+    words, first: when the set was first accepted, and its size and parities) and ``keys``
+    (tree, key, doc), sorted by tree and key, so that a prefix is a range of them. A run is
+    signed and written once and only read for later batches, also by later applications:
+    a forest opens at an existing path with all it has. ``merge_runs`` rewrites many runs as
+    one. Whole sets are signed, so that the recall of a prefix holds whatever words many
+    sets share.
     """
 
     def __init__(self, spark: SparkSession, path: str, trees: int = TREES, levels: int = LEVELS):
-        self.spark, self.path, self.trees, self.levels = spark, path, trees, levels
+        self.spark, self.path, self.trees, self.levels = spark, path.rstrip("/"), trees, levels
         self.runs: list[str] = []
+        self.version = 0
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            names = [f.getPath().getName() for f in fs.listStatus(folder)]
+            self.version = max((int(n.split("-")[1].split(".")[0]) for n in names if n.startswith("manifest-")), default=0)
+        if self.version:
+            last = json.loads("".join(r["value"] for r in spark.read.text(self._manifest(self.version), wholetext=True).collect()))
+            self.runs, self.trees, self.levels = [f"{self.path}/{r}" for r in last["runs"]], last["trees"], last["levels"]
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest-{version}.json"
+
+    def _publish(self, runs: list[str]) -> None:
+        """The next manifest: runs count from now on, or no longer."""
+        self.runs, self.version = runs, self.version + 1
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._manifest(self.version))
+        out = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, False)
+        text = json.dumps({"runs": [r.rsplit("/", 1)[1] for r in runs], "trees": self.trees, "levels": self.levels})
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def accept(self, sets: DataFrame) -> str:
-        """Append distinct sets (doc, words, first) as a run and give its name."""
+        """Append distinct sets (doc, words, first, ``CELLS``) as a run and give its path."""
         if len(self.runs) >= RUN_LIMIT:
             self.merge_runs()
-        run = f"{self.path}/{len(self.runs)}-{uuid.uuid4().hex[:8]}"
-        sets.select("doc", "words", "first").write.option("compression", "zstd").parquet(f"{run}/sets")
+        run = f"{self.path}/run-{uuid.uuid4().hex[:12]}"
+        sets.select("doc", "words", "first", *CELLS).write.option("compression", "zstd").parquet(f"{run}/sets")
         stored = self.spark.read.parquet(f"{run}/sets")
         # each task writes a sorted piece of its own: appending needs no shuffle
         tree_keys(stored, self.trees, self.levels).sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(f"{run}/keys")
-        self.runs.append(run)
+        self._publish([*self.runs, run])
         return run
 
     def merge_runs(self) -> str:
-        """All runs as one, range-sorted by tree and key."""
-        run = f"{self.path}/merged-{uuid.uuid4().hex[:8]}"
-        self.keys(self.runs).repartitionByRange("tree", "key").sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(f"{run}/keys")
-        self.sets(self.runs).groupBy("doc").agg(F.first("words").alias("words"), F.min("first").alias("first")).write.option("compression", "zstd").parquet(f"{run}/sets")
-        self.runs = [run]
+        """All runs as one, range-sorted by tree and key; the old ones are deleted."""
+        old, run = self.runs, f"{self.path}/run-{uuid.uuid4().hex[:12]}"
+        self.keys(old).repartitionByRange("tree", "key").sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(f"{run}/keys")
+        first = [F.first(c).alias(c) for c in ("words", *CELLS)]
+        self.sets(old).groupBy("doc").agg(*first, F.min("first").alias("first")).write.option("compression", "zstd").parquet(f"{run}/sets")
+        self._publish([run])
+        for gone in old:
+            drop_folder(self.spark, gone)
         return run
 
     def sets(self, runs: list[str]) -> DataFrame:
@@ -92,26 +120,55 @@ class HashForest:
     def keys(self, runs: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{r}/keys" for r in runs])
 
-    def similar(self, run: str, threshold: float, recall: float) -> DataFrame:
-        """For the sets of ``run`` the time at which the earliest other similar set was accepted: ``doc``, ``near``.
+    def _search(self, asked: DataFrame, known: DataFrame, depth: int, threshold: float) -> DataFrame:
+        """Of sets ``known``, by their keys ``asked``, those with a similar set accepted before them: ``doc``, ``near``.
 
-        Candidates are the entries in the key range that a set's prefix spans in some tree;
-        those that an exact bound leaves are compared word by word.
+        The entries of a prefix are one range of the sorted keys; asked keys and entries meet
+        in a merge of both in that order.
         """
-        shift = 64 - BITS * search_depth(threshold, recall, self.trees, self.levels)
-        prefix = F.shiftright("key", shift).alias("prefix")
-        asked = self.keys([run]).select("tree", prefix, "doc")
+        prefix = F.shiftright("key", 64 - BITS * depth).alias("prefix")
         entries = self.keys(self.runs).select("tree", prefix, F.col("doc").alias("entry"))
-        candidates = asked.join(entries, ["tree", "prefix"]).filter("doc <> entry").select("doc", "entry").distinct()
-        known = self.sets([run]).select("doc", "words")
-        everything = self.sets(self.runs).select("doc", "words").dropDuplicates(["doc"])
-        candidates = can_be_similar(candidates, "doc", "entry", parities(known), parities(everything), threshold)
-        accepted = self.sets(self.runs).select(F.col("doc").alias("entry"), F.col("words").alias("entry_words"), "first")
-        both = candidates.join(known, "doc").join(accepted, "entry")
-        return both.filter(jaccard(F.col("words"), F.col("entry_words")) >= threshold).groupBy("doc").agg(F.min("first").alias("near"))
+        candidates = asked.select("tree", prefix, "doc").join(entries, ["tree", "prefix"]).filter("doc <> entry").select("doc", "entry").distinct()
+        everything = self.sets(self.runs).select("doc", *CELLS).dropDuplicates(["doc"])
+        candidates = can_be_similar(candidates, "doc", "entry", known, everything, threshold)
+        accepted = self.sets(self.runs).select(F.col("doc").alias("entry"), F.col("words").alias("entry_words"), F.col("first").alias("accepted"))
+        both = candidates.join(known.select("doc", "words", "first"), "doc").join(accepted, "entry")
+        similar = both.filter((F.col("accepted") < F.col("first")) & (jaccard(F.col("words"), F.col("entry_words")) >= threshold))
+        return similar.groupBy("doc").agg(F.min("accepted").alias("near"))
+
+    def similar(self, run: str, threshold: float, recall: float) -> DataFrame:
+        """The sets of ``run`` that have a similar set accepted before them: ``doc``, ``near`` (a time at which one was).
+
+        A set is first looked for by its whole keys, which only very similar sets share; for
+        those without a verified entry the prefixes are widened to the length whose expected
+        recall at ``threshold`` reaches ``recall``.
+        """
+        asked, known = self.keys([run]), self.sets([run])
+        # whole keys: their expected recall at 0.95 is above 0.99
+        path = shared_path(self.spark, "forest-found")
+        self._search(asked, known, self.levels, threshold).write.parquet(path)
+        close = self.spark.read.parquet(path)
+        depth = search_depth(threshold, recall, self.trees, self.levels)
+        if depth == self.levels:
+            return close
+        open_sets = close.select("doc")
+        wide = self._search(asked.join(open_sets, "doc", "left_anti"), known.join(open_sets, "doc", "left_anti"), depth, threshold)
+        return close.unionByName(wide)
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """Rows of ``SETS`` with ``first``, one per set: when it was first seen."""
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in ("words", *CELLS)]
+    return rows.groupBy("doc").agg(*kept, F.min("first").alias("first"))
+
 
+def sets_of(rows: DataFrame, min_words: int, shingle: int) -> DataFrame:
+    """Rows (id, text, first) -> ``SETS`` with ``first``; a set is one whatever batch it comes in."""
+    # the batch travels in the place of the table's name
+    return word_sets(rows.select(F.col("first").cast("string").alias("tbl"), "id", "text"), min_words, shingle, apart=False).withColumn("first", F.col("tbl").cast("long")).drop("tbl")
 
-def already_accepted(history: DataFrame, batches: DataFrame, threshold: float = 0.8, min_words: int = 1, shingle: int = 5, recall: float = 0.95) -> DataFrame:
+
+def already_accepted(history: DataFrame | None, batches: DataFrame, threshold: float = 0.8, min_words: int = 1, shingle: int = 5, recall: float = 0.95, path: str | None = None) -> DataFrame:
     """Ids of ``batches`` that repeat an item or say nearly the same as something accepted before.
 
     ``history`` (id, item, text) was accepted before all batches; ``batches`` (id, item,
@@ -125,6 +182,11 @@ def already_accepted(history: DataFrame, batches: DataFrame, threshold: float =
     sets. Entries know when they were accepted, so that one pass over the runs answers all
     batches as if they had come one after the other.
 
+    With ``path`` the forest and the items seen stay there: a later call with the same path
+    and ``history`` None signs its batches only and holds them against all that was accepted
+    before, the history and the batches of earlier calls. Without it a folder of its own is
+    used.
+
     Defined cases: null items and texts match nothing; texts of fewer than ``min_words``
     elements are compared by item only; a row repeated with one id is asked once per batch
     it came in; exact copies of a text share one entry; very long texts are taken whole;
@@ -132,26 +194,26 @@ def already_accepted(history: DataFrame, batches: DataFrame, threshold: float =
     gives no rows.
     """
     spark = batches.sparkSession
-    path = shared_path(spark, "forest")
-    old = history.select(F.col("id").cast("string").alias("id"), "item", "text", F.lit(HISTORY).cast("long").alias("first"))
+    path = path or shared_path(spark, "forest")
+    forest = HashForest(spark, f"{path}/runs", HISTORY_TREES)
     new = batches.select(F.col("id").cast("string").alias("id"), "item", "text", F.unix_date(F.to_date("batch")).cast("long").alias("first"))
+    seen_before = f"{path}/items"
 
-    items = old.select("item", "first").unionByName(new.select("item", "first")).filter(F.col("item").isNotNull()).groupBy("item").agg(F.min("first").alias("seen"))
-    again = new.select("id", "item", "first").join(items, "item").filter("seen < first").select("id")
+    def see(rows: DataFrame) -> None:
+        rows.filter(F.col("item").isNotNull()).groupBy("item").agg(F.min("first").alias("first")).write.mode("append").parquet(seen_before)
 
-    def signed(rows: DataFrame, name: str) -> DataFrame:
-        # the batch travels in the place of the table's name
-        sets = word_sets(rows.select(F.col("first").cast("string").alias("tbl"), "id", "text"), min_words, shingle, apart=False)
-        sets.withColumn("first", F.col("tbl").cast("long")).drop("tbl").write.option("compression", "zstd").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
-    def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc").agg(F.first("words", ignorenulls=True).alias("words"), F.min("first").alias("first"))
+    if history is not None:
+        old = history.select(F.col("id").cast("string").alias("id"), "item", "text", F.lit(HISTORY).cast("long").alias("first"))
+        see(old)
+        forest.accept(distinct_sets(sets_of(old, min_words, shingle)))
+    see(new)
+    items = spark.read.parquet(seen_before).groupBy("item").agg(F.min("first").alias("seen"))
+    again = new.select("id", "item", "first").join(items, "item").filter("seen < first").select("id")
 
-    forest = HashForest(spark, f"{path}/runs", HISTORY_TREES)
-    forest.accept(distinct(signed(old, "history")))
-    asked = signed(new, "batches")
-    run = forest.accept(distinct(asked))
+    members = shared_path(spark, "forest-batches")
+    sets_of(new, min_words, shingle).write.option("compression", "zstd").parquet(members)
+    asked = spark.read.parquet(members)
+    run = forest.accept(distinct_sets(asked))
     own = forest.sets(forest.runs).groupBy("doc").agg(F.min("first").alias("own"))
     near = forest.similar(run, threshold, recall)
     rows = asked.select("id", "doc", "first").join(own, "doc").join(near, "doc", "left")

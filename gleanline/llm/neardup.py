@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_pairs, shared_path
-from .sketch import can_be_similar, fast_similarity_sketch, jaccard, lists, mix, parities, word_sets
+from .sketch import CELLS, can_be_similar, fast_similarity_sketch, jaccard, lists, mix, word_sets
 
 #: A pair of similarity 0.60 shares a band with 0.957, of 0.65 with 0.994, of 0.70 with 0.9997.
 BANDS, ROWS = 66, 6
@@ -151,22 +151,24 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.select("left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_sets(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def similar_sets(stored: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Pairs of distinct sets of one table of at least ``threshold`` similarity: ``a``, ``b``, ``similarity``.
 
-    ``sets`` (tbl, doc, words) may repeat a set a few times.
+    ``stored`` is a written table of ``SETS``, which may repeat a set a few times.
     """
-    known = sets.select("doc", "words").dropDuplicates(["doc"])
-    cells = parities(known)
-    # one exchange serves to drop repeated pairs and to meet the bounds of ``a``; blocks of large buckets spread over all tasks
-    spread = F.coalesce(F.col("a"), F.xxhash64("left", "right")).alias("a")
-    found = bucket_pairs(band_rows(sets, bands, rows), threshold).select(spread, "b", "left", "right").repartition("a")
-    plain = found.filter("left is null").select("a", "b").distinct()
-    large = block_pairs(found.filter("left is not null")).distinct()
-    candidates = can_be_similar(plain, "a", "b", cells, cells, threshold).unionByName(can_be_similar(large, "a", "b", cells, cells, threshold)).distinct()
-    left = known.select(F.col("doc").alias("a"), F.col("words").alias("words_a"))
-    right = known.select(F.col("doc").alias("b"), F.col("words").alias("words_b"))
-    both = candidates.join(left, "a").join(right, "b")
+    sets = stored.filter(F.col("words").isNotNull())
+    # one exchange of the words serves the bands and both sides of the comparison
+    known = sets.select("tbl", "doc", "words").dropDuplicates(["doc"])
+    cells = sets.select("doc", *CELLS).dropDuplicates(["doc"])
+    path = shared_path(stored.sparkSession, "band-pairs")
+    bucket_pairs(band_rows(known, bands, rows), threshold).write.option("compression", "zstd").parquet(path)
+    found = stored.sparkSession.read.parquet(path)
+    pairs = found.filter("left is null").select("a", "b").repartition("a").distinct()
+    if not (large := found.filter("left is not null")).isEmpty():
+        pairs = pairs.unionByName(block_pairs(large.repartition(F.xxhash64("left", "right")))).distinct()
+    candidates = can_be_similar(pairs, "a", "b", cells, cells, threshold)
+    side = lambda key: known.select(F.col("doc").alias(key), F.col("words").alias(f"words_{key}"), F.col("tbl").alias(f"tbl_{key}"))
+    both = candidates.join(side("a"), "a").join(side("b"), "b").filter("tbl_a = tbl_b")
     return both.select("a", "b", jaccard(F.col("words_a"), F.col("words_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
@@ -192,7 +194,7 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.8, min_words: int = 1
     path = shared_path(spark, "word-sets")
     word_sets(texts, min_words, shingle).write.option("compression", "zstd").parquet(path)
     stored = spark.read.parquet(path)
-    links = similar_sets(stored.filter(F.col("words").isNotNull()), threshold, bands, rows)
+    links = similar_sets(stored, threshold, bands, rows)
     return stored.select("tbl", "id", "doc").distinct(), links
 
 

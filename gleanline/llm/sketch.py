@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of letters and digits, lower-cased.
 WORD = re.compile(r"[^\W_]+")
-SETS = "tbl string, id string, doc bigint, words array<int>"
+CELLS = ["size", "p0", "p1", "p2", "p3"]
+SETS = "tbl string, id string, doc bigint, words array<int>, size int, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -35,12 +36,14 @@ def elements(text: str, shingle: int) -> set[str]:
 
 
 def word_sets(texts: DataFrame, min_words: int, shingle: int = 1, apart: bool = True) -> DataFrame:
-    """Rows (tbl, id, text) -> (tbl, id, doc, words) for texts of at least ``min_words`` elements.
-
-    ``words`` has the sorted 32-bit codes of the distinct elements; ``doc`` is a 64-bit key
-    of set and table (of the set alone if not ``apart``), so rows with the same set share
-    it. Null texts have no set. A task gives the words of a set once and null for its later
-    copies, so that a set copied over a third of all rows leaves one row per task.
+    """Rows (tbl, id, text) -> ``SETS`` for texts of at least ``min_words`` elements.
+
+    ``words`` has the sorted 32-bit codes of the distinct elements, ``size`` their number and
+    ``p0`` to ``p3`` the parity of the words in each of 256 hashed cells; ``doc`` is a 64-bit
+    key of set and table (of the set alone if not ``apart``), so rows with the same set share
+    it (of ten billion different sets some three pairs are expected to). Null texts have no
+    set. A task gives the words of a set once and null for its later copies, so that a set
+    copied over a third of all rows leaves one row per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +69,15 @@ def word_sets(texts: DataFrame, min_words: int, shingle: int = 1, apart: bool =
                     flat.append(words)
                 offsets.append(offsets[-1] + (0 if again[-1] else len(words)))
             values = np.concatenate(flat) if flat else np.empty(0, np.uint32)
+            missing = np.array(again, bool)
+            size, cells = parities(values, np.array(offsets, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_t, pa.string()), pa.array(out_i, pa.string()), pa.array(np.array(docs, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)), mask=pa.array(again, pa.bool_()))],
-                names=["tbl", "id", "doc", "words"],
-            )
+                [
+                    pa.array(out_t, pa.string()), pa.array(out_i, pa.string()), pa.array(np.array(docs, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int32)), mask=pa.array(again, pa.bool_())),
+                    pa.array(size, mask=missing), *[pa.array(c, mask=missing) for c in cells],
+                ],
+                names=["tbl", "id", "doc", "words", *CELLS],
+            )
 
     return texts.select("tbl", F.col("id").cast("string").alias("id"), "text").mapInArrow(run, SETS)
 
@@ -109,31 +117,24 @@ def fast_similarity_sketch(values: np.ndarray, offsets: np.ndarray, bins: int) -
     return sketch
 
 
-def parities(sets: DataFrame) -> DataFrame:
-    """(doc, size, p0, p1, p2, p3) of sets (doc, words): their size and the parity of their words in each of 256 hashed cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = lists(batch.column(1))
-            cell = mix(values.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(56)
-            bit, quarter, full = np.uint64(1) << (cell & np.uint64(63)), cell >> np.uint64(6), np.flatnonzero(np.diff(offsets))
-            out = np.zeros((4, batch.num_rows), np.uint64)
-            if len(full):
-                for q in range(4):
-                    out[q, full] = np.bitwise_xor.reduceat(np.where(quarter == q, bit, np.uint64(0)), offsets[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), *[pa.array(o.view(np.int64)) for o in out]], names=["doc", "size", "p0", "p1", "p2", "p3"])
-
-    return sets.select("doc", "words").mapInArrow(run, "doc bigint, size int, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+def parities(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of many sets their sizes and, as four words of 64 bits, the parity of their elements in each of 256 hashed cells."""
+    cell = mix(values.astype(np.int32).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(56)
+    bit, quarter, full = np.uint64(1) << (cell & np.uint64(63)), cell >> np.uint64(6), np.flatnonzero(np.diff(offsets))
+    out = np.zeros((4, len(offsets) - 1), np.uint64)
+    if len(full):
+        for q in range(4):
+            out[q, full] = np.bitwise_xor.reduceat(np.where(quarter == q, bit, np.uint64(0)), offsets[full])
+    return np.diff(offsets).astype(np.int32), out.view(np.int64)
 
 
 def can_be_similar(pairs: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """The rows of ``pairs`` whose sets ``a`` and ``b`` may reach ``threshold``, by the ``parities`` of both sides.
+    """The rows of ``pairs`` whose sets ``a`` and ``b`` may reach ``threshold``, by the sizes and parities of both sides (doc, ``CELLS``).
 
     No similar pair goes: sets differ in at least as many words as their parities differ in
     cells, and sets of similarity t differ in at most (1 - t) / (1 + t) of their sizes' sum.
     """
-    cells = ["size", "p0", "p1", "p2", "p3"]
-    named = lambda df, key, side: df.select(F.col("doc").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in cells])
+    named = lambda df, key, side: df.select(F.col("doc").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in CELLS])
     both = pairs.join(named(left, a, "l"), a).join(named(right, b, "r"), b)
     apart = sum(F.bit_count(F.col(f"l_p{q}").bitwiseXOR(F.col(f"r_p{q}"))) for q in range(4))
     return both.filter(apart <= (F.col("l_size") + F.col("r_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select(*pairs.columns)
