@@ -168,7 +168,7 @@ def test_quality_labels_and_counts(spark):
     prose = "We compared the two tools last week. The first one was slow, but it did what we needed.\n"
     rows = [
         (1, prose * 3, "prose"), (2, None, "none"), (3, "   ", "none"), (4, "too short", "none"), (5, "* one thing\n* another thing\n* a third one\n* more", "list"), (6, "a,b,1,2\n2026-01-01,x,5,7\n2026-01-02,y,6,8\n", "table"), (7, "spam " * 60, "junk"),
-        (8, "xkcdq wrtzp qqgh sdfkl zxcv bnmk wrtp lkjh", "junk"), (9, "<*&>!@#/$%^\\|~<*&>!@#/$%^\\|~ word", "junk"), (10, prose.lower().replace(".", "").replace(",", "") * 2, "prose"), (11, prose * 2 + "- one\n- two\n- three\n", "prose"), (12, "| a | b |\n|---|---|\n| x | 1 |\n| y | 2 |", "table"),
+        (8, "xkcdq wrtzp qqgh sdfkl zxcv bnmk wrtp lkjh", "junk"), (9, "<*&>!@#/$%^\\|~<*&>!@#/$%^\\|~ word", "junk"), (10, prose.lower().replace(".", "").replace(",", "") * 2, "prose"), (11, prose * 2 + "- one\n- two\n- three\n", "prose"), (12, "| a | b |\n|---|---|\n| x | 1 |\n| y | 2 |", "table"), (13, "     eleven ch     \n\n    ", "none"), (14, "\n".join(" " * 200 + "- " + " ".join(f"{w}{v}" for v in ("one", "two", "six", "ten", "all", "any", "few", "red", "sea", "sun")) for w in ("be", "ga", "mi", "to")), "list"),
     ]
     df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1, prose * 3)], "doc_id long, text string").withColumn("words", F.lit(1))
     got = {r["doc_id"]: r for r in text_quality(df, "doc_id", "text").collect()}
@@ -179,7 +179,7 @@ def test_quality_labels_and_counts(spark):
 
 def test_quality_does_not_depend_on_the_chunk(spark):
     text = "The naïve tools of the team were slow.\r\n- item one\nhttps://x.example/a?b=1\n" * 40 + "x" * 300
-    df = spark.createDataFrame([(1, text), (2, text[:777]), (3, "a\n" * 500)], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (2, text[:777]), (3, "a\n" * 500), (4, " " * 2000 + "short" + "\n" * 1500), (5, " " * 900 + "* one two three four five six seven eight nine ten\n" * 60)], "doc_id long, text string")
     whole = [tuple(r) for r in text_quality(df, "doc_id", "text").orderBy("doc_id").collect()]
     for chunk in (311, 1024):
         assert [tuple(r) for r in text_quality(df, "doc_id", "text", chunk=chunk).orderBy("doc_id").collect()] == whole
