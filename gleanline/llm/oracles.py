@@ -37,6 +37,15 @@ ORACLES = {
                 FROM reddit_leads)
           WHERE account <> '' AND account <> '[deleted]')
         WHERE rn > 5""",
+    "p2_share": r"""
+        WITH rows AS (SELECT id, any_value(community) AS community, any_value(account) AS account, max(ai_score) AS ai_score, max(item_created_at) AS item_created_at FROM (
+            SELECT id, ai_score, item_created_at, regexp_replace(lower(trim(subreddit)), '^/?r/', '') AS community, regexp_replace(lower(trim(author)), '^/?u/', '') AS account FROM reddit_leads)
+          WHERE account <> '' AND account <> '[deleted]' GROUP BY id),
+        counts AS (SELECT community, account, count(*) AS n FROM rows GROUP BY ALL),
+        tried AS (SELECT community, level, sum(least(n, level)) AS kept FROM counts JOIN (SELECT community, unnest(range(1, 1 + max(n))) AS level FROM counts GROUP BY community) USING (community) GROUP BY ALL),
+        levels AS (SELECT community, greatest(1, coalesce(max(level) FILTER (level <= 0.2 * kept + 1e-9), 0)) AS level FROM tried GROUP BY community),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY community, account ORDER BY ai_score DESC NULLS LAST, item_created_at DESC NULLS LAST, id) AS rn FROM rows)
+        SELECT community, account, id AS lead_id FROM ranked JOIN levels USING (community) WHERE rn > level""",
     "p3_found": f"""
         WITH texts AS (
           SELECT DISTINCT 'gemini_qualification_queue' AS tbl, id, concat_ws(chr(10), title, body) AS t FROM gemini_qualification_queue

@@ -31,9 +31,12 @@ def sort_keys(order: list[tuple[str, str]], id_col: str) -> list[Column]:
 def one_row_per_id(df: DataFrame, groups: list[str], order: list[tuple[str, str]], id_col: str) -> DataFrame:
     """Group, order and id columns only, rows of one id in a group counted once.
 
-    Copies that disagree in an order column count with its greatest value.
+    Of copies that disagree in order columns one counts, the one with the greatest values
+    (by the first column that differs). The result is read several times, so it is written.
     """
-    return df.groupBy(*groups, id_col).agg(*[F.max(c).alias(c) for c, _ in order])
+    columns = [c for c, _ in order]
+    best = df.groupBy(*groups, id_col).agg(F.max(F.struct(*columns)).alias("__best"))
+    return cut(best.select(*groups, id_col, *[F.col("__best")[c].alias(c) for c in columns]))
 
 
 def rank_in_groups(rows: DataFrame, groups: list[str], order: list[tuple[str, str]], id_col: str, heavy_rows: int = HEAVY_ROWS, top: int | None = None) -> DataFrame:

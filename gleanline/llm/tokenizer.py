@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that splits text before the merges of byte_bpe_50k.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 300_000
+KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -137,6 +137,8 @@ class Encoder:
             return False
         a, b = pair >> 32, pair & 0xFFFFFFFF
         fine = self.merge(self.token[a] + self.token[b]) == (a, b)
+        if len(self.good) + len(self.bad) > KEPT_PAIRS:
+            self.good.clear(), self.bad.clear()
         (self.good if fine else self.bad).add(pair)
         return fine
 

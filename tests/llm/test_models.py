@@ -164,6 +164,16 @@ def test_containers(spark):
     assert fill_containers(df.limit(0), "doc_id", "n", 100).count() == 0
 
 
+def test_the_search_takes_fewer_containers_than_best_fit(spark):
+    """Sizes between a fifth and half of a container: best fit is far from the bound, and generations come nearer."""
+    import random
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, rng.randint(200, 500)) for i in range(900)], "doc_id long, n int")
+    counts = [fill_containers(df, "doc_id", "n", 1000, generations=g).select("container").distinct().count() for g in (0, 60)]
+    assert counts[1] < counts[0]
+
+
 def test_quality_labels_and_counts(spark):
     prose = "We compared the two tools last week. The first one was slow, but it did what we needed.\n"
     rows = [

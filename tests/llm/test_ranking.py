@@ -34,6 +34,11 @@ def test_top_n_agrees_with_brute_force_on_hot_and_cold_groups(spark):
         assert got == best(rows, 7)
 
 
+def test_copies_that_differ_count_as_one_of_them(spark):
+    df = spark.createDataFrame([("g", "a", 5, 1), ("g", "a", 4, 9), ("g", "b", 5, 2)], "g string, id string, score int, at int")
+    assert [tuple(r) for r in top_n_per_group(df, ["g"], ORDER, "id", 2).orderBy("rank").collect()] == [("g", "b", 1), ("g", "a", 2)]
+
+
 def test_top_n_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert top_n_per_group(empty, ["g"], ORDER, "id", 3).count() == 0
