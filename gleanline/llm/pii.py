@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import LOOK
-from .pii_training import FIRST_NAMES, TITLES, training_sentences
+from .pii_training import FIRST_NAMES, GERMAN, ORDINARY, TITLES, training_sentences
 
 KINDS = ["O", "email", "phone", "id_number", "address", "name"]
 K = len(KINDS)
@@ -23,28 +23,31 @@ SKIP_SAME, SKIP_PLAIN, SKIP_APART = 6.0, 0.5, 0.0
 MESSAGE_ROUNDS = 6
 POSSIBLE = {kind: np.array([0.0 if k == 0 or KINDS[k] in labels else -50.0 for k in range(K)]) for kind, labels in {"email": {"email"}, "handle": (), "code": {"id_number"}, "number": {"phone", "id_number"}, "word": {"address", "name"}, "mark": {"address", "name"}}.items()}
 
-# Repetitions are bounded, so that long runs of one kind of character cost no more than their length.
-EMAIL = r"[\w.+-]{1,64}(?:@|\s?\((?i:at)\)\s?|\s?\[(?i:at)\]\s?)[\w-]+(?:(?:\.|\s?\[(?i:dot)\]\s?|\s?\((?i:dot)\)\s?)[\w-]+)+|[\w.+-]{1,64} (?i:at) [\w-]+(?: (?i:dot) [\w-]+)+"
-NUMBER = r"(?:\+|00)?\(?\d[\d().\-/ ]{5,24}\d"
+# Runs begin at their border and are taken whole, so that long runs of one kind of character cost no more than their length.
+EMAIL = r"(?<![\w.+-])[\w.+-]++(?:@|\s?\((?i:at)\)\s?|\s?\[(?i:at)\]\s?)[\w-]++(?:(?:\.|\s?\[(?i:dot)\]\s?|\s?\((?i:dot)\)\s?)[\w-]++)+|(?<![\w.+-])[\w.+-]++ (?i:at) [\w-]++(?: (?i:dot) [\w-]++)+"
+NUMBER = r"(?:\+|00)?\(?\d(?:[().\-/ ]{0,3}\d)++"
+#: A longer run of digits is several numbers: it is cut at its blanks.
+NUMBER_DIGITS = 20
 STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Boulevard|Blvd|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Close|Crescent|Parkway|Way|Hill|Row)"
-CAP = r"[A-Z][\w'’-]{0,30}"
+CAP = r"[A-Z][\w'’-]*+"
 ADDRESS = re.compile(
     rf"""(?:(?:Apt|Apartment|Flat|Unit|Suite|Ste)\.?\ \d+\w?,?\ )?\d{{1,5}}[a-zA-Z]?\ (?:{CAP}\ ){{1,3}}{STREET}\b\.?(?:,\ (?:\d{{4,5}}\ )?{CAP}(?:\ {CAP}){{0,3}}(?:\ \d{{4,5}})?)?
     |(?:Apt|Apartment|Flat|Unit|Suite|Ste)\.?\ \d+\w?,\ (?:{CAP}\ ){{1,3}}{STREET}\b\.?(?:,\ {CAP}(?:\ {CAP}){{0,3}}(?:\ \d{{4,5}})?)?
     |(?:Calle|Avenida|Av\.|Plaza|Paseo|Camino|Via|Viale|Rua)\ (?:de\ la\ |de\ |del\ )?(?:{CAP}\ ){{1,3}}\d{{1,4}}[a-z]?\b(?:,\ (?:\d{{4,5}}\ )?{CAP}(?:\ {CAP}){{0,3}})?
+    |P\.?O\.?\ Box\ \d{{1,6}}(?:,\ {CAP}(?:\ {CAP}){{0,3}}(?:\ \d{{4,5}})?)?
     |\d{{1,4}}(?:\ ?bis)?,?\ (?:rue|avenue|boulevard|place|chemin|impasse|quai|allée)\ (?:de\ la\ |de\ |du\ |des\ )?{CAP}(?:\ {CAP}){{0,3}}(?:,\ (?:\d{{4,5}}\ )?{CAP}(?:\ {CAP}){{0,3}})?
-    |(?:{CAP}\ ){{0,3}}{CAP}(?:\ Str(?:\.|aße|asse)|\ Weg|\ Platz|\ Allee|\ Gasse|str\.|straße|strasse|weg|platz|allee|gasse)\ \d{{1,4}}\ ?[a-z]?\b(?:,\ (?:\d{{4,5}}\ )?{CAP}(?:\ {CAP}){{0,3}})?""",
+    |(?<!\w)(?:{CAP}\ ){{0,3}}(?<!\w)[A-Z][\w'’-]*(?:\ Str(?:\.|aße|asse)|\ Weg|\ Platz|\ Allee|\ Gasse|str\.|straße|strasse|weg|platz|allee|gasse)\ \d{{1,4}}\ ?[a-z]?\b(?:,\ (?:\d{{4,5}}\ )?{CAP}(?:\ {CAP}){{0,3}})?""",
     re.VERBOSE,
 )
-TOKEN = re.compile(rf"(?P<email>{EMAIL})|(?P<handle>(?<!\w)/?u/\w+|(?<![\w.])@\w+)|(?P<code>\b[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b[A-Z]{{1,2}}\d{{6,8}}\b|\b\d{{8}}-?[A-Z]\b)|(?P<number>(?<![\w.$]){NUMBER}(?!\w))|(?P<word>[^\W_]+(?:['’-][^\W_]+)*)|(?P<mark>[^\w\s])", re.UNICODE)
-ID_WORDS = frozenset("passport ssn social security insurance nino tax tin dni nif nie steuer id national identity identification licence license number no nr".split())
+TOKEN = re.compile(rf"(?P<email>{EMAIL})|(?P<handle>(?<!\w)/?u/\w+|(?<![\w.])@\w+)|(?P<code>\b[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?\b|\b[A-Z]{{2}} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b[A-Z]{{1,2}}\d{{6,8}}\b|\b\d{{8}}-?[A-Z]\b)|(?P<number>(?<![\w.$]){NUMBER}(?!\w))|(?P<word>[^\W_]+(?:['’-][^\W_]+)*)|(?P<mark>[^\w\s])", re.UNICODE)
+ID_WORDS = frozenset("passport ssn social security insurance nino tax tin dni nif nie iban steuer id national identity identification licence license number no nr".split())
 PHONE_WORDS = frozenset("call ring text phone tel telephone mobile cell whatsapp line fax dial reach contact sms number hotline".split())
 PRODUCT = re.compile(r"(?:crest|mint|dock|loop|stack|board|kiln|wick|cast|vane|spire|pulse|moss|nest|grid|fold|forge|tally|lane|bay|desk|ly|trail|beam|port|hub|lab|pad|talk|ops|crm|app|soft|ware|suite|base)$")
 INITIAL_NAME = re.compile(r"(?<![\w.])[A-Z]\.\s?(?:[A-Z]\.\s?)?(?:O['’]|Mc|Mac|de |van |von )?[A-Z][a-z]")
-#: Two capitalised words inside a sentence: a name, unless they are products or the start of a sentence.
-CAPITAL_PAIR = re.compile(r"(?<=[a-zà-ÿ,:;/] )([A-Z][a-zà-ÿ]+),? (?:[A-Z]\. )?(?:O['’]|Mc)?([A-Z][a-zà-ÿ'’-]+)")
+#: A capitalised word inside a sentence, or two at its start: a name, unless the field finds that it is none.
+CAPITALISED = re.compile(r"(?<=\S )[A-ZÀ-ÖØ-Þ][a-zà-ÿ][\w'’-]*|^[A-ZÀ-ÖØ-Þ][a-zà-ÿ][\w'’-]* [A-ZÀ-ÖØ-Þ][a-zà-ÿ]")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?\s[A-Z]")
-MORE_EVIDENCE = re.compile(r"@|\(at\)|\[at\]| at [\w-]+ dot |\b[A-Z]{1,2}\d{6,8}\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{8}-?[A-Z]\b|\b\d{3}-\d{2}-\d{4}\b|(?:\d[ .()/+-]*){9,}", re.I)
+MORE_EVIDENCE = re.compile(r"@|\(at\)|\[at\]| at [\w-]+ dot |\b[A-Z]{1,2}\d{6,8}\b|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b\d{8}-?[A-Z]\b|\b\d{3}-\d{2}-\d{4}\b|(?:\d[ .()/+-]*){7,}|\bP\.?O\.? Box \d|\b[A-Z]{2}\d\d ?[A-Z0-9]{4} ?[A-Z0-9]{4}", re.I)
 #: Sentences end at a line end, or at a mark that doesn't close an initial, a title or an abbreviation.
 SENTENCE_END = re.compile(r"\n+|(?<=[.!?])(?<!\b[A-Z]\.)(?<!\bMr\.)(?<!\bMs\.)(?<!\bMrs\.)(?<!\bDr\.)(?<!\bProf\.)(?<!\bno\.)(?<!\bNo\.)(?<!\bSt\.)(?<!\bStr\.)(?<!\bAve\.)(?<!\bRd\.)(?<!\bApt\.)\s+(?=\S)")
 
@@ -78,6 +81,9 @@ def tokens_of(sentence: str, offset: int = 0) -> list[Token]:
         elif kind == "number" and sum(c.isdigit() for c in m.group()) < 7:
             piece = re.compile(r"\d+|\(|\+").match(sentence, start) or m
             kind, end = "word", max(piece.end(), start + 1)
+        elif kind == "number" and sum(c.isdigit() for c in m.group()) > NUMBER_DIGITS:
+            piece = re.compile(r"[^ ]++(?: [^ ]++)?(?: [^ ]++)?").match(sentence, start, end)
+            end = piece.end()
         out.append(Token(offset + start, offset + end, sentence[start:end], kind, inside(start)))
         at = end
     return out
@@ -90,17 +96,21 @@ def is_name_like(t: Token) -> bool:
 def features(tokens: list[Token]) -> list[list[int]]:
     """Hashed features of every token of a sentence."""
     own: list[list[str]] = []
+    capital = "capde" if any(t.low in GERMAN for t in tokens) else "cap"
     for t in tokens:
         f = [t.kind]
         if t.kind == "word":
             first = t.low in FIRST_NAMES
-            f.append("first" if first else "title" if t.text.rstrip(".") in TITLES else "initial" if len(t.text) == 1 and t.text.isupper() else "product" if PRODUCT.search(t.low) and t.text[:1].isupper() else "digits" if t.text[:1].isdigit() else "cap" if t.text[:1].isupper() else "low")
+            f.append("first" if first else "title" if t.text.rstrip(".") in TITLES else "initial" if len(t.text) == 1 and t.text.isupper() else "product" if PRODUCT.search(t.low) and t.text[:1].isupper() else "digits" if t.text[:1].isdigit() else ("capword" if t.low in ORDINARY else capital) if t.text[:1].isupper() else "low")
+            if f[1] in ("cap", "capde", "first"):
+                f += ["end=" + t.low[-3:], "begin=" + t.low[:2], "shout" if t.text.isupper() and len(t.text) > 1 else "written"]
             if t.low in ID_WORDS:
                 f.append("idword")
             if t.low in PHONE_WORDS:
                 f.append("phoneword")
         elif t.kind == "number":
             f += ["shape=" + shape_of_number(t.text), f"digits={sum(map(str.isdigit, t.text))}", "sep=" + "".join(sorted({c for c in t.text if not c.isdigit()}))]
+            f.append(f"{f[1]}|{all(g.endswith('00') for g in re.findall(r'\d+', t.text))}")
         elif t.kind == "mark":
             f.append("m=" + t.text)
         if t.address:
@@ -137,7 +147,7 @@ class Model:
     message passing lets a clear mention decide about all unclear ones, near or far.
     """
 
-    def __init__(self, seed: int = 7, sentences: int = 9000, epochs: int = 6):
+    def __init__(self, seed: int = 7, sentences: int = 14_000, epochs: int = 6):
         rng = np.random.default_rng(seed)
         flat, starts, labels = [], [0], []
         pair = np.ones((K, K))
@@ -181,10 +191,13 @@ class Model:
         self.skip[0, 0] = SKIP_PLAIN
 
     def nodes(self, tokens: list[Token]) -> np.ndarray:
-        node = np.array([self.weights[f].sum(0) for f in features(tokens)]).reshape(-1, K)
-        for i, t in enumerate(tokens):  # a label needs a token of its form
-            node[i] += POSSIBLE[t.kind]
-        return node
+        cells = features(tokens)
+        if not cells:
+            return np.zeros((0, K))
+        starts = np.cumsum([0, *map(len, cells[:-1])])
+        node = np.add.reduceat(self.weights[[c for f in cells for c in f]], starts)
+        # a label needs a token of its form
+        return node + np.array([POSSIBLE[t.kind] for t in tokens])
 
     def decode(self, sentences: list[list[Token]]) -> list[np.ndarray]:
         """Labels of every token of the sentences of one document, by loopy max-product messages."""
@@ -252,8 +265,8 @@ class Model:
         """(start, end, kind) of the personal information in ``text``, in order."""
         if not text:
             return []
-        if text.isascii():
-            seen, place = text, None
+        if text.isascii() or all(len(LOOK[ord(c)]) == 1 for c in set(text)):
+            seen, place = text.translate(LOOK), None
         else:
             # compatibility forms and look-alikes are read as what they look like
             shown = [LOOK[ord(c)] for c in text]
@@ -306,8 +319,18 @@ def passed(scores: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def evident(sentence: str) -> bool:
-    """Whether a sentence holds anything that can be personal information by itself."""
-    return bool(MORE_EVIDENCE.search(sentence)) or not FIRST_NAMES.isdisjoint(re.findall(r"[^\W\d_]+", sentence.lower())) or bool(INITIAL_NAME.search(sentence)) or bool(TITLED.search(sentence)) or bool(ADDRESS.search(sentence)) or any(not (PRODUCT.search(a.lower()) or PRODUCT.search(b.lower())) for a, b in CAPITAL_PAIR.findall(sentence))
+    """Whether a sentence holds anything that can be personal information: what the field can only find nothing in is not labelled."""
+    if any(not PRODUCT.search(w.lower()) for w in CAPITALISED.findall(sentence)):
+        return True
+    digits = DIGIT.search(sentence) is not None
+    if (digits or "@" in sentence or "at" in sentence or "AT" in sentence) and MORE_EVIDENCE.search(sentence):
+        return True
+    if not FIRST_NAMES.isdisjoint(LETTERS.findall(sentence.lower())):
+        return True
+    return bool(INITIAL_NAME.search(sentence) or TITLED.search(sentence) or digits and ADDRESS.search(sentence))
+
+
+DIGIT, LETTERS = re.compile(r"\d"), re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)

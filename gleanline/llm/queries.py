@@ -79,16 +79,21 @@ def p4_normal_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_text(queue, "body", "normal_body").select("id", "normal_body").distinct()
 
 
-def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with placeholders for personal information, and the kinds found in it."""
+def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as delivered with placeholders for personal information, and the kinds found in it."""
     queue = table(spark, sf_dir, "gemini_qualification_queue").select(F.lit("gemini_qualification_queue").alias("tbl"), F.col("id").alias("row_id"), F.lit("body").alias("field"), F.col("body").alias("text"))
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("content", "ai_lead_summary")])).alias("f")
     leads = table(spark, sf_dir, "reddit_leads").select(F.lit("reddit_leads").alias("tbl"), F.col("id").alias("row_id"), fields).select("tbl", "row_id", "f.field", "f.text")
     return personal_information(queue.unionByName(leads), ["tbl", "row_id", "field"])
 
 
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text once, with placeholders for personal information, and the kinds found in it."""
+    return personal_texts(spark, sf_dir).dropDuplicates(["tbl", "row_id", "field"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_redacted(spark, sf_dir).select("tbl", "row_id", "field", F.explode("kinds").alias("kind")).distinct()
+    return personal_texts(spark, sf_dir).select("tbl", "row_id", "field", F.explode("kinds").alias("kind")).distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

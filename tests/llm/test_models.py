@@ -36,6 +36,31 @@ def test_kinds(model, text, kinds):
     assert {k for *_, k in model.spans(text)} == kinds
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("I spoke with Kwabena yesterday.", {"name"}),
+        ("It works now. Regards, Siobhan Gallagher", {"name"}),
+        ("Write to PO Box 4411, Dallas", {"address"}),
+        ("mail " + "a" * 80 + "@example.com now", {"email"}),
+        ("IBAN DE89 3704 0044 0532 0130 00 please", {"id_number"}),
+        ("The Sales Team met Customer Success in May.", set()),
+        ("The range 100-200-3000 is a ladder, 10.0.19045.3086 a version", set()),
+        ("1 2 3 " * 30 + "call +44 7700 900123", {"phone"}),
+    ],
+)
+def test_kinds_beyond_the_lists(model, text, kinds):
+    assert {k for *_, k in model.spans(text)} == kinds
+
+
+def test_names_that_no_list_holds(model):
+    """Given names outside of the list, in frames that the training doesn't have."""
+    names = [f"{a} {b}" for a in ("Thandeka", "Oluwaseun", "Siobhan", "Xiaoming", "Dragoslav", "Katarzyna", "Ngozi", "Aoife", "Tevita", "Bhavna") for b in ("Mokoena", "Gallagher", "Petrov", "Okafor", "Wiśniewski")]
+    frames = ["Yesterday I had lunch with {} and we agreed", "the person in charge, {}, never answered", "It was {} who told us", "please ask for {} when you arrive"]
+    found = sum("name" in {k for *_, k in model.spans(f.format(n))} for f in frames for n in names)
+    assert found >= 0.65 * len(names) * len(frames), found / (len(names) * len(frames))
+
+
 def test_held_out_sentences(model):
     import numpy as np
 
