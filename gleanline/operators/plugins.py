@@ -46,6 +46,21 @@ def score_missing(rows: DataFrame, result: str, visible: list[str], scorer: Call
     return known.unionByName(missing.withColumn(result, scored(*[F.col(c) for c in visible])))
 
 
+def analyzed(rows: DataFrame, key: str, visible: list[str], analyzer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, check: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """``key`` and the columns of ``schema`` that the analyzer gives for each row; it sees the ``visible`` columns only.
+
+    A row that ``check`` refuses ends the job.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        found = analyzer(batch[visible].reset_index(drop=True))
+        if len(found) != len(batch) or not check(found).all():
+            raise InvalidResult("an analysis breaks its schema")
+        return pd.concat([batch[[key]].reset_index(drop=True), found], axis=1)
+
+    return apply_batches(rows, run, f"{key} {rows.schema[key].dataType.simpleString()}, {schema}", [key, *visible])
+
+
 def in_range(low: int, high: int) -> Callable[[pd.Series], pd.Series]:
     return lambda values: values.between(low, high)
 

@@ -276,5 +276,7 @@ ORACLES = {
     "score_missing": "SELECT id, CAST(coalesce(ai_score, length(coalesce(content, '')) % 11) AS BIGINT) AS ai_score FROM reddit_leads",
     "project_prompts": """SELECT id, array_to_string(list_filter([CASE WHEN coalesce(website_url, '') <> '' THEN 'Website URL: ' || website_url END, CASE WHEN coalesce(name, '') <> '' THEN 'Page title: ' || name END, CASE WHEN coalesce(description, '') <> '' THEN 'Meta description: ' || description END,
         'Keywords: ' || CASE WHEN coalesce(len(keywords), 0) > 0 THEN array_to_string(keywords, ', ') ELSE '(none provided)' END, 'Competitors: ' || CASE WHEN coalesce(len(competitors), 0) > 0 THEN array_to_string(competitors, ', ') ELSE '(none provided)' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS prompt FROM projects""",
+    "stream_daily": "SELECT project_id, date_trunc('day', created_at)::TIMESTAMP AS day, count(*) AS rows FROM gemini_qualification_queue GROUP BY ALL",
+    "page_analysis": "SELECT id, trim(coalesce(name, '') || ': ' || coalesce(description, '')) AS summary, CAST(len(string_split(trim(coalesce(name, '') || ': ' || coalesce(description, '')), ' ')) AS BIGINT) AS words FROM projects",
     "stream_intake": "SELECT project_id, count(DISTINCT id) AS items FROM gemini_qualification_queue GROUP BY project_id",
 }

@@ -510,6 +510,24 @@ def stream_intake(spark, d):
     return spark.read.schema("id string, project_id string").parquet(f"{path}/batch=*").groupBy("project_id").agg(F.count(F.lit(1)).alias("items"))
 
 
+def stream_daily(spark, d):
+    """The queue read as a stream: rows per day of arrival and project."""
+    path = shared_folder(spark, "stream-daily")
+    kind = read(spark, d, "gemini_qualification_queue", ["id", "project_id", "created_at"]).schema
+    stream = spark.readStream.schema(kind).parquet(f"{d}/gemini_qualification_queue.parquet*").withColumn("at", F.col("created_at").cast("timestamp"))
+    counts = intake.counts_per_window(stream, "at", "1 day", "project_id", "365 days")
+    intake.drain_to(counts, lambda batch, n: batch.select("project_id", "window.start", "rows").write.mode("overwrite").parquet(path), f"{path}-state", "complete").awaitTermination()
+    return spark.read.parquet(path).select("project_id", F.col("start").cast("timestamp_ntz").alias("day"), "rows")
+
+
+def page_analysis(spark, d):
+    """What a stand-in analyzer makes of the projects' pages: a summary and its number of words."""
+    p = read(spark, d, "projects", ["id", "name", "description"])
+    summary = lambda x: (x["name"].fillna("") + ": " + x["description"].fillna("")).str.strip()
+    analyzer = lambda x: summary(x).to_frame("summary").assign(words=summary(x).str.split(" ").str.len())
+    return plugins.analyzed(p, "id", ["name", "description"], analyzer, "summary string, words long", lambda x: x["words"] > 0)
+
+
 QUERIES = {
     "qualified_candidates": qualified_candidates,
     "normalize_text": normalize_text,
@@ -583,4 +601,6 @@ QUERIES = {
     "score_missing": score_missing,
     "project_prompts": project_prompts,
     "stream_intake": stream_intake,
+    "stream_daily": stream_daily,
+    "page_analysis": page_analysis,
 }

@@ -44,8 +44,15 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for a table that goes when the application ends (results are lazy, so not before)."""
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a path is remembered for deletion only once it is there
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    files.delete(target, True)
+    return path
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -7,6 +7,7 @@ retries over HTTP, another one can be named as ``module:function`` (tests, archi
 
 from __future__ import annotations
 
+import base64
 import importlib
 import json
 import time
@@ -45,6 +46,47 @@ def http_get(url: str, token: str | None = None) -> dict:
         raise FetchError(str(e)) from e
 
 
+class Tokens:
+    """An access token, asked for when there is none and again shortly before it ends."""
+
+    BUFFER_S = 60.0
+
+    def __init__(self, ask: Callable[[], tuple[str, float]], clock: Callable[[], float] = time.time):
+        self.ask, self.clock, self.token, self.until = ask, clock, None, 0.0
+
+    def get(self, refresh: bool = False) -> str:
+        if refresh or self.token is None or self.until <= self.clock():
+            self.token, lives = self.ask()
+            self.until = self.clock() + lives - self.BUFFER_S
+        return self.token
+
+
+def client_token(url: str, client: str, secret: str) -> tuple[str, float]:
+    """A token and its seconds to live for client credentials."""
+    if not (client and secret):
+        raise FetchError("missing api credentials")
+    basic = base64.b64encode(f"{client}:{secret}".encode()).decode()
+    request = urllib.request.Request(url, data=b"grant_type=client_credentials", headers={"Authorization": f"Basic {basic}"})
+    try:
+        with urllib.request.urlopen(request, timeout=TIMEOUT_S) as answer:
+            found = json.load(answer)
+    except urllib.error.HTTPError as e:
+        raise FetchError(f"authentication failed with status {e.code}", e.code) from e
+    except OSError as e:
+        raise FetchError("the authentication endpoint can't be reached") from e
+    return found["access_token"], float(found["expires_in"])
+
+
+def authorized(get: Callable[[str], dict], tokens: Tokens) -> dict:
+    """What ``get`` returns for a token; one that is refused is renewed once."""
+    try:
+        return get(tokens.get())
+    except FetchError as e:
+        if e.status != 401:
+            raise
+        return get(tokens.get(refresh=True))
+
+
 def with_retry(get: Callable[[], dict], sleep: Callable[[float], None] = time.sleep, attempts: int = ATTEMPTS) -> dict:
     """Tries again after any failure, waiting what the server asks for or one second more each time."""
     for attempt in range(1, attempts + 1):
@@ -101,7 +143,11 @@ class ForumReader(DataSourceReader):
             module, name = self.options["fetch"].split(":")
             return getattr(importlib.import_module(module), name)
         base, token = self.options["base"].rstrip("/"), self.options.get("token")
-        return lambda path, parameters: with_retry(lambda: http_get(f"{base}{path}?{urllib.parse.urlencode(parameters)}", token))
+        url = lambda path, parameters: f"{base}{path}?{urllib.parse.urlencode(parameters)}"
+        if "token_url" in self.options:
+            tokens = Tokens(lambda: client_token(self.options["token_url"], self.options.get("client", ""), self.options.get("secret", "")))
+            return lambda path, parameters: with_retry(lambda: authorized(lambda t: http_get(url(path, parameters), t), tokens))
+        return lambda path, parameters: with_retry(lambda: http_get(url(path, parameters), token))
 
     def read(self, partition: Request) -> Iterator[tuple]:
         fetch, community = self.fetcher(), urllib.parse.quote(partition.community, safe="")
@@ -122,7 +168,7 @@ class ForumReader(DataSourceReader):
 
 
 class ForumSource(DataSource):
-    """Options: ``kind`` (posts, comments, rules), ``requests`` (JSON list of {subreddit, value}), ``limit``, and ``base`` with ``token`` or ``fetch``."""
+    """Options: ``kind`` (posts, comments, rules), ``requests`` (JSON list of {subreddit, value}), ``limit``, and ``base`` with ``token``, or with ``token_url``, ``client`` and ``secret``, or ``fetch``."""
 
     @classmethod
     def name(cls) -> str:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "noscript", "svg", "iframe"}
 HEADINGS, TEXT_CHARS = 20, 8000
@@ -84,6 +87,49 @@ def extract(html: str | None) -> dict | None:
     return {"title": title, "meta_description": about, "headings": page.headings[:HEADINGS], "body_text": body}
 
 
+def http_page(url: str, method: str = "GET", timeout: float = 15.0) -> tuple[int, str]:
+    """Status and body of a page."""
+    request = urllib.request.Request(url, method=method)
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return answer.status, "" if method == "HEAD" else answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        return e.code, ""
+
+
+def fetched_pages(urls: DataFrame, url_col: str, fetch: Callable[[str], tuple[int, str]] = http_page) -> DataFrame:
+    """(url, html, error) of every distinct address; a page that fails has an error and no html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            html, error = [], []
+            for url in batch.column(0).to_pylist():
+                try:
+                    status, body = fetch(url)
+                    fine = 200 <= status < 300
+                    html.append(body if fine else None)
+                    error.append(None if fine else f"status {status}")
+                except OSError as e:
+                    html.append(None)
+                    error.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string()), pa.array(error, pa.string())], names=["url", "html", "error"])
+
+    distinct = urls.select(F.col(url_col).alias("url")).filter(F.col("url").isNotNull()).distinct()
+    return distinct.mapInArrow(run, "url string, html string, error string")
+
+
+def reachable(url: str, ask: Callable[[str, str, float], tuple[int, str]] = http_page, timeout: float = 8.0) -> bool:
+    """Whether an address answers: asked for its head, and for the page where that is refused or fails."""
+    for method in ("HEAD", "GET"):
+        try:
+            status, _ = ask(url, method, timeout)
+        except OSError:
+            continue
+        if status != 405:
+            return status < 400
+    return False
+
+
 def page_content(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """``keep`` columns and the content of each page; pages without any content are left out."""
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep) + ", " + SCHEMA

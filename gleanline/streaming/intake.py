@@ -19,10 +19,11 @@ def counts_per_window(stream: DataFrame, event_time: str, width: str, by: str, l
     return stream.withWatermark(event_time, lateness).groupBy(F.window(event_time, width), by).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def drain_to(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def drain_to(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Hand everything that is there to ``handle`` in micro-batches and stop.
 
     ``handle`` gets a batch and its number; a batch may be handed over again after a
-    failure under the same number, so a handler writes by number or by key.
+    failure under the same number, so a handler writes by number or by key. With the mode
+    ``complete`` each batch is the whole result so far.
     """
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
