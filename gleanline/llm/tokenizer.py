@@ -18,6 +18,7 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that splits text before the merges of byte_bpe_50k.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
+UNKNOWN, NEVER, BEYOND = -1, -2, 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,8 +44,8 @@ class Encoder:
 
     A word is first cut greedily into the longest tokens. That guess is the encoding exactly
     if every pair of neighbouring tokens is *compatible*: encoding the bytes of the two
-    gives the two again. The pairs of all new words are tested together, each distinct pair
-    once; only words with an incompatible pair are merged step by step.
+    gives the two again. The pairs of all new words are tested together, as arrays; only
+    words with an incompatible pair are merged step by step.
     """
 
     def __init__(self, path: str):
@@ -52,19 +53,25 @@ class Encoder:
         self.longest = max(map(len, self.ranks))
         self.token = {i: t for t, i in self.ranks.items()}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.good, self.bad = set(), set()
-
-    def merge(self, data: bytes) -> tuple[int, ...]:
-        """Exact merging: the neighbouring parts with the lowest rank join first, the leftmost of equals."""
+        size = max(self.token) + 1
+        # the two tokens that the last merge of a token joins, worked out when first needed; bytes are their own halves
+        self.left, self.right = np.full(size, UNKNOWN, np.int64), np.full(size, UNKNOWN, np.int64)
+        for i, t in self.token.items():
+            if len(t) == 1:
+                self.left[i] = self.right[i] = i
+        self.joined: dict[int, int] = {}
+
+    def merge(self, data: bytes, below: int | None = None) -> tuple[int, ...]:
+        """Exact merging: the neighbouring parts with the lowest rank join first, the leftmost of equals; only ranks ``below`` one, if given."""
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
-        if len(parts) > 512:
+        if len(parts) > 512 and below is None:
             return self.merge_long(data)
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
+                if rank is not None and (best is None or rank < best) and (below is None or rank < below):
                     best, at = rank, i
             if best is None:
                 break
@@ -125,21 +132,53 @@ class Encoder:
         owner = np.repeat(np.arange(len(guesses)), lengths)
         inner = np.flatnonzero(owner[:-1] == owner[1:]) if len(flat) > 1 else np.empty(0, np.int64)
         pair, back = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
-        compatible = np.fromiter(map(self.compatible, pair.tolist()), bool, len(pair))
+        compatible = self.compatible(pair)
         failing = set(owner[inner[~compatible[back]]].tolist())
         for k, (word, guess) in enumerate(zip(words, guesses)):
             self.words[word] = self.merge(word.encode("utf-8", "surrogatepass")) if k in failing else guess
 
-    def compatible(self, pair: int) -> bool:
-        if pair in self.good:
-            return True
-        if pair in self.bad:
-            return False
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        fine = self.merge(self.token[a] + self.token[b]) == (a, b)
-        if len(self.good) + len(self.bad) > KEPT_PAIRS:
-            self.good.clear(), self.bad.clear()
-        (self.good if fine else self.bad).add(pair)
+    def halves(self, tokens: np.ndarray) -> None:
+        """Work out the halves of ``tokens`` that aren't known yet."""
+        for t in np.unique(tokens[self.left[tokens] == UNKNOWN]).tolist():
+            parts = self.merge(self.token[t], below=t)
+            # a token that no merge reaches has none, and goes with no neighbour
+            self.left[t], self.right[t] = parts if len(parts) == 2 else (NEVER, NEVER)
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that neighbours ``a`` and ``b`` join to, or a number beyond all."""
+        codes, back = np.unique(a << 32 | b, return_inverse=True)
+        if len(self.joined) > KEPT_PAIRS:
+            self.joined.clear()
+        joined, token, ranks = self.joined, self.token, self.ranks
+        for c in codes.tolist():
+            if c not in joined:
+                joined[c] = ranks.get(token[c >> 32] + token[c & 0xFFFFFFFF], BEYOND)
+        return np.fromiter(map(joined.__getitem__, codes.tolist()), np.int64, len(codes))[back]
+
+    def compatible(self, pairs: np.ndarray) -> np.ndarray:
+        """Which pairs of tokens (first << 32 | second) stay apart when their bytes are merged.
+
+        The merges of both are undone from the last one back, for all pairs at once. At each
+        step the tokens that touch across the border must not join to one that comes before
+        the merge undone last, or it would have been chosen.
+        """
+        fine, open_pairs = np.ones(len(pairs), bool), np.arange(len(pairs))
+        a, b, limit = pairs >> 32, pairs & 0xFFFFFFFF, np.full(len(pairs), BEYOND)
+        self.halves(a), self.halves(b)
+        fine[(self.left[a] == NEVER) | (self.left[b] == NEVER)] = False
+        while len(open_pairs := open_pairs[fine[open_pairs]]):
+            x, y = a[open_pairs], b[open_pairs]
+            refused = self.joins(x, y) < limit[open_pairs]
+            fine[open_pairs[refused]] = False
+            open_pairs, x, y = open_pairs[~refused], x[~refused], y[~refused]
+            whole_x, whole_y = self.right[x] == x, self.left[y] == y
+            # the later merge is undone first; a byte has none, so it is the other's turn
+            first = np.where(whole_x, False, np.where(whole_y, True, x > y))
+            limit[open_pairs] = np.where(first, x, y + 1)
+            self.halves(x), self.halves(y)
+            a[open_pairs], b[open_pairs] = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+            self.halves(a[open_pairs]), self.halves(b[open_pairs])
+            open_pairs = open_pairs[~(whole_x & whole_y)]
         return fine
 
     def encode_batch(self, texts: list[str | None], split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
