@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.display import absolute_link
+from ..functions.text import token_text, tokens
 
 WINDOW_DAYS, POSTS_PER_QUERY, POSTS_PER_COMMUNITY, COMMENTS_PER_POST = 7, 25, 50, 50
 
@@ -46,18 +47,29 @@ def first_per(items: DataFrame, keys: list[str], order: list[Column], n: int = 1
 
 
 def search(posts: DataFrame, grid: DataFrame, phrase: str = "term", limit: int = POSTS_PER_QUERY) -> DataFrame:
-    """The newest posts per community and term that contain the term (case ignored), at most ``limit`` (1 to 100).
+    """The newest posts per community and term that hold the term as a phrase, at most ``limit`` (1 to 100).
 
-    The rows of ``grid`` with the id and time of each post. Projects that look for the same
-    term in the same community get the same posts, so every distinct (community, term) is
-    searched once, by an equi-join with the text test as its residual condition, and only
-    its few newest posts are given to the projects.
+    A phrase is the term's words one after the other, letter case and signs between them
+    ignored; a term without letters and digits is looked for as it is. The rows of ``grid``
+    come with the id and time of each post; posts delivered more than once count once.
+
+    Projects that look for the same term in the same community get the same posts, so every
+    distinct (community, term) is searched once: posts meet terms by an equi-join on the
+    community and the first word, which spreads a large community by its words, and only
+    posts that hold the first word of a longer term are tested for the rest of it.
     """
     limit = min(max(limit, 1), 100)
-    low = F.lower(F.col(phrase)).alias("__low")
-    wanted = grid.select("subreddit", low).distinct()
-    texts = posts.select("subreddit", "id", "created_at", F.lower(F.concat_ws(" ", "title", "body")).alias("__text"))
-    hits = texts.join(wanted, "subreddit").filter(F.contains("__text", F.col("__low"))).select("subreddit", "__low", "id", "created_at")
+    low = F.lower(F.trim(phrase)).alias("__low")
+    wanted = grid.select("subreddit", low).distinct().withColumn("__words", tokens(F.col("__low")))
+    text = F.lower(F.concat_ws(" ", "title", "body"))
+    texts = posts.select("subreddit", "id", "created_at", text.alias("__text"))
+    first = wanted.filter(F.size("__words") > 0).select("subreddit", F.element_at("__words", 1).alias("__word"), "__low", F.size("__words").alias("__n"), F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" ")).alias("__phrase"))
+    words = texts.select("subreddit", "id", "created_at", F.explode(F.array_distinct(tokens(F.col("__text")))).alias("__word"))
+    met = words.join(first, ["subreddit", "__word"])
+    found = ["subreddit", "__low", "id", "created_at"]
+    longer = met.filter("__n > 1").select(*found, "__phrase").distinct().join(texts.select("id", token_text(F.col("__text")).alias("__padded")), "id").filter(F.contains("__padded", F.col("__phrase")))
+    literal = texts.join(wanted.filter((F.size("__words") == 0) & (F.col("__low") != "")).select("subreddit", "__low"), "subreddit").filter(F.contains("__text", F.col("__low")))
+    hits = met.filter("__n = 1").select(*found).unionByName(longer.select(*found)).unionByName(literal.select(*found)).distinct()
     newest = first_per(hits, ["subreddit", "__low"], [F.col("created_at").desc(), F.col("id")], limit)
     return grid.withColumn("__low", low).join(newest, ["subreddit", "__low"]).drop("__low")
 

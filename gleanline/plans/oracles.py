@@ -202,7 +202,7 @@ ORACLES = {
     "request_grid": f"WITH {UNIQUE_TERMS}, c AS (SELECT id AS project_id, unnest(subreddits) AS subreddit FROM projects) SELECT project_id, count(*) AS requests, count(DISTINCT subreddit) AS communities FROM c JOIN search USING (project_id) GROUP BY project_id",
     "scan_window": f"WITH {POSTS} SELECT DISTINCT id, post_id, created_at FROM posts WHERE created_at >= {NOW} - INTERVAL 7 DAY",
     "search_posts": f"""WITH {POSTS}, {UNIQUE_TERMS}, grid AS (SELECT DISTINCT project_id, subreddit, term FROM (SELECT id AS project_id, unnest(subreddits) AS subreddit FROM projects) JOIN search USING (project_id)),
-        hits AS (SELECT DISTINCT project_id, g.subreddit, term, p.id, created_at FROM grid g JOIN (SELECT DISTINCT id, subreddit, created_at, lower(concat_ws(' ', title, body)) AS x FROM posts) p ON p.subreddit = g.subreddit AND contains(x, lower(term)))
+        hits AS (SELECT DISTINCT project_id, g.subreddit, term, p.id, created_at FROM grid g JOIN (SELECT DISTINCT id, subreddit, created_at, lower(concat_ws(' ', title, body)) AS x FROM posts) p ON p.subreddit = g.subreddit AND CASE WHEN regexp_matches(lower(term), '[a-z0-9]') THEN contains(' ' || trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) || ' ') ELSE contains(x, lower(term)) END)
         SELECT project_id, subreddit, term, id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, subreddit, term ORDER BY created_at DESC, id) AS n FROM hits) WHERE n <= 25""",
     "post_cap_per_community": "WITH capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subreddit ORDER BY item_created_at, id, updated_at, attempt_count) AS n FROM gemini_qualification_queue WHERE item_type = 'post') WHERE n <= 50) SELECT subreddit, reddit_item_id AS post_id, id FROM (SELECT *, row_number() OVER (PARTITION BY reddit_item_id ORDER BY item_created_at, id, updated_at, attempt_count) AS k FROM capped) WHERE k = 1",
     "dedupe_items": "SELECT id, updated_at, CAST(attempt_count AS BIGINT) AS attempt_count FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, attempt_count DESC NULLS LAST) AS n FROM gemini_qualification_queue) WHERE n = 1",

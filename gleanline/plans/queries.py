@@ -129,7 +129,7 @@ def search_posts(spark, d):
     p = read(spark, d, "projects")
     communities = p.select(F.col("id").alias("project_id"), F.explode("subreddits").alias("subreddit")).distinct()
     grid = communities.join(terms.search_terms(p).select("project_id", "term"), "project_id")
-    return scan.search(posts(spark, d).dropDuplicates(["id"]), grid).select("project_id", "subreddit", "term", "id")
+    return scan.search(posts(spark, d), grid).select("project_id", "subreddit", "term", "id")
 
 
 def deliveries(spark, d):

@@ -138,3 +138,15 @@ def test_streaming_intake(spark, tmp_path):
     query = intake.drain_to(intake.first_deliveries(stream, ["k"], "at"), lambda df, n: got.extend(r["k"] for r in df.collect()), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert sorted(got) == ["a", "b"]
+
+
+def test_search_finds_phrases_of_whole_words(spark):
+    posts = spark.createDataFrame(
+        [("c", "1", "Need a CRM-tool", "now", T(2026, 1, 1)), ("c", "2", "crm", "tool", T(2026, 1, 3)), ("c", "2", "crm", "tool", T(2026, 1, 3)), ("c", "3", "scrm tools", None, T(2026, 1, 2)), ("d", "4", "crm tool", "", T(2026, 1, 1)), ("c", "5", "日本語の道具", "", T(2026, 1, 1)), ("c", "6", "crm for a tool", "", T(2026, 1, 5))],
+        "subreddit string, id string, title string, body string, created_at timestamp_ntz",
+    )
+    grid = spark.createDataFrame([("p", "c", "CRM tool"), ("p", "c", "crm"), ("q", "c", "crm Tool"), ("p", "c", "日本"), ("p", "c", " ")], "project_id string, subreddit string, term string")
+    got = {}
+    for r in scan.search(posts, grid, limit=2).collect():
+        got.setdefault((r["project_id"], r["term"]), []).append(r["id"])
+    assert {k: sorted(v) for k, v in got.items()} == {("p", "CRM tool"): ["1", "2"], ("q", "crm Tool"): ["1", "2"], ("p", "crm"): ["2", "6"], ("p", "日本"): ["5"]}
