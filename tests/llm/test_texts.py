@@ -98,6 +98,24 @@ def test_blocks_of_large_buckets_give_the_same_pairs(spark):
     assert pair(whole) <= pair(cut_up) and len(pair(whole)) > 15_000
 
 
+def test_unrelated_sets_that_meet_over_common_words_are_not_stored(spark):
+    common = [f"form{j}" for j in range(24)]
+    rows = [(f"{i}", " ".join(common + [f"x{i}y{j}" for j in range(36)])) for i in range(1000)]  # of a similarity of 24 / 96
+    rows += [(f"{i}+", " ".join(common + [f"x{i}y{j}" for j in range(33)] + ["a", "b", "c"])) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, text string").withColumn("tbl", F.lit("t"))
+    sets = sketch.word_sets(df, 24, 1).filter("words is not null")
+    doc = {r["id"]: r["doc"] for r in sets.collect()}
+    bands = band_rows(sets, 66, 6)
+    candidates = lambda size: bucket_pairs(bands, 0.6, size)
+    found = {tuple(r) for r in candidates(1000).filter("left is null").select("a", "b").collect()}
+    wanted = {tuple(sorted((doc[f"{i}"], doc[f"{i}+"]))) for i in range(50)}
+    assert wanted <= found and len(found) < 60  # some 8,000 pairs share a bucket
+    cut_up = candidates(2)
+    large = cut_up.filter("left is not null")
+    assert {tuple(r) for r in cut_up.filter("left is null").select("a", "b").union(block_pairs(large, 0.6)).collect()} == found
+    assert large.count() > 100
+
+
 def test_rows_of_large_classes_are_paired_in_blocks(spark):
     members = spark.createDataFrame([("t", 1, f"a{i:02}") for i in range(23)] + [("t", 2, f"b{i}") for i in range(3)] + [("u", 3, "c")], "tbl string, doc long, id string")
     links = spark.createDataFrame([(1, 2)], "a long, b long")
