@@ -23,8 +23,9 @@ BANDS_AT_ONCE = 11
 BUCKET_BITS, AGREE_BITS = 30, 34
 #: Of pairs at the threshold at most this share is lost by the one-bit coordinates.
 AGREE_LOSS = 0.005
-#: A bucket of more sets than this is given out in blocks of so many, which other tasks pair.
-BLOCK = 1000
+#: A bucket of more sets than this is given out in blocks of so many, which other tasks pair. (A set is
+#: given out once for every block; smaller blocks would be more data than the input.)
+BLOCK = 8000
 #: Pairs that are looked at together.
 AT_ONCE = 500_000
 
@@ -111,6 +112,15 @@ class Signs:
         return x[keep], y[keep]
 
 
+def index_pairs(n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs x < y of ``n`` rows, some ``AT_ONCE`` at a time."""
+    step = max(1, AT_ONCE // n)
+    for begin in range(0, n - 1, step):
+        part, others = np.arange(begin, min(begin + step, n)), np.arange(begin + 1, n)
+        x, y = np.repeat(part, len(others)), np.tile(others, len(part))
+        yield x[x < y], y[x < y]
+
+
 SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("left", "right", "left_signs", "right_signs")]])
 CANDIDATES = "a bigint, b bigint, left array<bigint>, right array<bigint>, left_signs array<bigint>, right_signs array<bigint>"
 
@@ -152,15 +162,17 @@ def bucket_pairs(bands: DataFrame, threshold: float, block_size: int = BLOCK) ->
                                 cells = [[left.doc], [right.doc], [left.flat()], [right.flat()]]
                                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array(c, pa.list_(pa.int64())) for c in cells], schema=SCHEMA)
                     continue
-                i, j = np.triu_indices(size, 1)
-                step = max(1, AT_ONCE // len(i))
-                for k in range(0, len(at), step):
-                    block = at[k : k + step, None]
-                    x, y = signs.alike((block + i).reshape(-1), (block + j).reshape(-1), threshold)
-                    first, second, waiting = [*first, signs.doc[x]], [*second, signs.doc[y]], waiting + len(x)
-                    if waiting > 1_000_000:
-                        yield pair_batch(np.concatenate(first), np.concatenate(second))
-                        first, second, waiting = [], [], 0
+                for i, j in index_pairs(size):
+                    step = max(1, AT_ONCE // len(i))
+                    for k in range(0, len(at), step):
+                        block = at[k : k + step, None]
+                        x, y = signs.alike((block + i).reshape(-1), (block + j).reshape(-1), threshold)
+                        first.append(signs.doc[x])
+                        second.append(signs.doc[y])
+                        waiting += len(x)
+                        if waiting > 1_000_000:
+                            yield pair_batch(np.concatenate(first), np.concatenate(second))
+                            first, second, waiting = [], [], 0
 
         parts: list[Signs] = []
         for batch in batches:
@@ -217,9 +229,10 @@ def similar_sets(stored: DataFrame, threshold: float, bands: int = BANDS, rows:
         own = band_rows(known, min(BANDS_AT_ONCE, bands - seed * BANDS_AT_ONCE), rows, seed)
         write_apart(bucket_pairs(own, threshold), part)
     found = spark.read.parquet(*parts)
-    pairs = found.filter("left is null").select("a", "b").repartition("a").distinct()
+    pairs = found.filter("left is null").select("a", "b")
     if not (large := found.filter("left is not null")).isEmpty():
-        pairs = pairs.unionByName(block_pairs(large.repartition(F.xxhash64("left", "right")), threshold)).distinct()
+        pairs = pairs.unionByName(block_pairs(large.repartition(F.xxhash64("left", "right")), threshold))
+    pairs = pairs.repartition("a").distinct()
     side = lambda key: known.select(F.col("doc").alias(key), F.col("words").alias(f"words_{key}"), F.col("tbl").alias(f"tbl_{key}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter("tbl_a = tbl_b")
     return both.select("a", "b", jaccard(F.col("words_a"), F.col("words_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
